@@ -110,7 +110,7 @@ def _card(e: Column, key: Column) -> Column:
 
     plain = _let(digits, whole)
     separator = F.regexp_extract(e, r"^\d{4}([ -])", 1)
-    return F.when(separator == "", plain).otherwise(_let(plain, lambda p: F.concat_ws(separator, *[F.substring(p, 1 + 4 * k, 4) for k in range(4)])))
+    return F.when(separator == "", plain).otherwise(_let(plain, lambda p: F.concat(*[x for k in range(4) for x in (separator, F.substring(p, 1 + 4 * k, 4))][1:])))
 
 
 def _ip(e: Column, key: Column) -> Column:
