@@ -31,14 +31,18 @@ def stem_word(word: str) -> str:
     return word[:-1] + {"g": "k", "b": "p", "d": "t"}[word[-1]] if len(word) >= 4 and word[-1] in "gbd" else word
 
 
-@F.pandas_udf("string")
-def stem_udf(words: pd.Series) -> pd.Series:
+def stem_series(words: pd.Series) -> pd.Series:
     return words.map(stem_word, na_action="ignore")
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once, also inside higher-order functions."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def stemmed(words: DataFrame, word_col: str = "word") -> DataFrame:
     """``word, stem`` for each distinct word; the Arrow function sees every word once."""
-    return words.select(F.col(word_col).alias("word")).where("word is not null").distinct().withColumn("stem", stem_udf("word"))
+    return words.select(F.col(word_col).alias("word")).where("word is not null").distinct().withColumn("stem", F.pandas_udf(stem_series, "string")("word"))
 
 
 def plain_words(c: Column) -> Column:
@@ -63,15 +67,22 @@ def content_terms(tokens: Column, stop: list[str] = STOP_EVAL, longer_than: int
 
 def ngrams(tokens: Column, n: int) -> Column:
     """Word n-grams joined by single spaces; none if there are fewer words."""
-    places = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))
+
+    def made(t: Column) -> Column:
+        places = F.when(F.size(t) >= n, F.sequence(F.lit(1), F.size(t) - (n - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(places, lambda i: F.array_join(F.slice(t, i, F.lit(n)), " "))
+
+    return let(tokens, made)
 
 
 def trigram_set(c: Column) -> Column:
     """Distinct character trigrams of the folded letters and digits."""
-    t = F.regexp_replace(F.lower(ascii_fold(c)), r"[^a-z0-9]", "")
-    places = F.when(F.length(t) >= 3, F.sequence(F.lit(1), F.length(t) - 2)).otherwise(F.array().cast("array<int>"))
-    return F.array_distinct(F.transform(places, lambda i: F.substring(t, i, F.lit(3))))
+
+    def made(t: Column) -> Column:
+        places = F.when(F.length(t) >= 3, F.sequence(F.lit(1), F.length(t) - 2)).otherwise(F.array().cast("array<int>"))
+        return F.array_distinct(F.transform(places, lambda i: F.substring(t, i, F.lit(3))))
+
+    return let(F.regexp_replace(F.lower(ascii_fold(c)), r"[^a-z0-9]", ""), made)
 
 
 def with_bigrams(stems: Column, stop: list[str]) -> Column:
