@@ -21,7 +21,7 @@ def pattern_index(intents: DataFrame) -> DataFrame:
 
     ``intents`` has ``tag, patterns, knowledge``.
     """
-    each = intents.select("tag", "knowledge", pattern_key(F.explode("patterns")).alias("key")).where("key <> ''").distinct()
+    each = intents.select("tag", "knowledge", F.explode("patterns").alias("p")).select("tag", "knowledge", pattern_key(F.col("p")).alias("key")).where("key <> ''").distinct()
     by = each.groupBy("key").agg(F.count_distinct("tag").alias("n"), F.min("tag").alias("any_tag"), F.count_if(~F.col("knowledge")).alias("n_chat"), F.min(F.when(~F.col("knowledge"), F.col("tag"))).alias("chat"))
     return by.select("key", F.when(F.col("n") == 1, F.col("any_tag")).when(F.col("n_chat") == 1, F.col("chat")).alias("tag"))
 

@@ -73,7 +73,7 @@ def pattern_division(spark, d):
 def cosine_top5(spark, d):
     e = table(spark, d, "embeddings")
     found = search.cosine_top_k(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", 5)
-    return found.select(F.col("q").alias("query_id"), F.col("doc").alias("vec_id"), F.round("sim", 5).alias("sim"))
+    return found.select(F.col("q").alias("query_id"), F.col("doc").alias("vec_id"), F.round("sim", 3).alias("sim"))
 
 
 def refresh_plan(spark, d):
@@ -165,7 +165,7 @@ ORACLE_SQL = {
         SELECT item_id, min(doc_id) AS doc_id, 0.5::DOUBLE AS score FROM ok JOIN dd ON list_has_all(dd.t, ok.t) GROUP BY 1""",
     "cosine_top5": """
         WITH p AS (SELECT a.vec_id AS query_id, b.vec_id, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS s FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
-        SELECT query_id, vec_id, round(s, 5) AS sim FROM p WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, vec_id) <= 5""",
+        SELECT query_id, vec_id, round(s, 3) AS sim FROM p WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(s, 6) DESC, vec_id) <= 5""",
     "refresh_plan": """
         SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'drop' WHEN doc_id % 19 = 0 THEN 'add' ELSE 'rebuild' END AS action FROM documents
         WHERE (doc_id % 13 = 0 AND doc_id % 19 <> 0) OR (doc_id % 13 <> 0 AND (doc_id % 19 = 0 OR doc_id % 17 = 0))""",

@@ -79,7 +79,7 @@ def allow(pdf: pd.DataFrame, limit: int = 10, seconds: float = 60.0) -> pd.DataF
 
 def rate_limited(events: DataFrame, id_col: str, key: str, time: str, limit: int = 10, seconds: float = 60.0) -> DataFrame:
     """Batch form: ``id, key, allowed`` for each event."""
-    rows = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"), (F.unix_micros(F.col(time)) / 1e6).alias("at"))
+    rows = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"))
     out = rows.groupBy("key").applyInPandas(lambda pdf: allow(pdf, limit, seconds)[["id", "key", "allowed"]], "id long, key long, allowed boolean")
     return out
 
