@@ -68,9 +68,11 @@ def dedupe_pairs(pairs: DataFrame, order: str = "ord", ctx: str = "ctx", resp: s
         state = materialise(state, "dedupe-state")
         if state.where("not kept and reason is null").isEmpty():
             break
+    # a row may have been settled by a similar one before its response's first row was
     first_kept = state.where("kept").groupBy("rk").agg(F.min("ord").alias("k"))
-    empty = rows.where("sk is null").join(first_kept, "rk", "left").select("ord", F.when(F.coalesce(F.col("k") < F.col("ord"), F.lit(False)), "response").otherwise("empty").alias("reason"))
-    return state.select("ord", "reason").unionByName(empty)
+    lost = state.where("not kept").select("ord", "rk", F.lit("similar").alias("other")).unionByName(rows.where("sk is null").select("ord", "rk", F.lit("empty").alias("other")))
+    named = lost.join(first_kept, "rk", "left").select("ord", F.when(F.coalesce(F.col("k") < F.col("ord"), F.lit(False)), "response").otherwise(F.col("other")).alias("reason"))
+    return state.where("kept").select("ord", F.lit(None).cast("string").alias("reason")).unionByName(named)
 
 
 def repeated_answers(answers: DataFrame, group: str, order: str, tokens: str, threshold: float = 0.85) -> DataFrame:
