@@ -42,11 +42,11 @@ PATTERNS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?\(?\d{2,4}\)?[ .-]?\d{3,4}[ .-]?\d{3,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?!\d)",
     "national_id": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?![\d]|\.\d)",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:(?:{'|'.join(TITLES)})\.? {_CAPITAL}(?: {_CAPITAL})?|(?:{'|'.join(n for names in FIRST_NAMES.values() for n in names)}) {_CAPITAL})(?![\p{{L}}\p{{N}}])",
+    "name": rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:{'|'.join(TITLES)})\.? {_CAPITAL}(?: {_CAPITAL})?|(?:{'|'.join(n for names in FIRST_NAMES.values() for n in names)}) {_CAPITAL})(?![\p{{L}}\p{{N}}])",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: What a text must have for any pattern to match; most texts are passed by at this.
-HINT = r"[0-9@]|(?<!\p{L})(?:" + "|".join(TITLES + [n for names in FIRST_NAMES.values() for n in names]) + r")(?!\p{L})"
+HINT = r"[0-9@]|(?<!\p{L})(?=\p{Lu})(?:" + "|".join(TITLES + [n for names in FIRST_NAMES.values() for n in names]) + r")(?!\p{L})"
 MAX_DRAWS, MAX_LITERALS = 20, 1_000
 
 
