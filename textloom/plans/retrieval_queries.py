@@ -147,7 +147,8 @@ _TFIDF = """
     dv AS (SELECT doc, term, (0.5 + tf) * idf AS w FROM post JOIN terms USING (term)), dn AS (SELECT doc, sqrt(sum(w * w)) AS n FROM dv GROUP BY 1),
     lex AS (SELECT q, doc, sum(dv.w * qv.w / qn.n) / max(dn.n) AS s FROM dv JOIN qv USING (term) JOIN qn USING (q) JOIN dn USING (doc) WHERE qn.n > 0 AND dn.n > 0 GROUP BY 1, 2)"""
 _rank = lambda t, k: f"SELECT q AS item_id, doc AS doc_id, s AS score, rank FROM (SELECT q, doc, round(s, 6) AS s, row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, doc) AS rank FROM {t}) WHERE rank <= {k}"
-_tri = lambda c: f"list_distinct(list_transform(range(1, length(regexp_replace(lower({sql.fold(c)}), '[^a-z0-9]', '', 'g')) - 1), lambda i: substring(regexp_replace(lower({sql.fold(c)}), '[^a-z0-9]', '', 'g'), i, 3)))"
+_flat = lambda c: f"regexp_replace(lower({sql.fold(c)}), '[^a-z0-9]', '', 'g')"
+_TRI = "list_distinct(list_transform(range(1, length(t) - 1), lambda i: substring(t, i, 3)))"
 
 ORACLE_SQL = {
     "index_terms": f"WITH {_postings(True)} SELECT term, df, round(idf, 6) AS idf, round(bm25, 6) AS bm25 FROM terms",
@@ -186,4 +187,20 @@ ORACLE_SQL = {
              e AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM t), c AS (SELECT p[1] AS head, p[2] AS next, count(*) AS n FROM e GROUP BY 1, 2),
              h AS (SELECT head, sum(n) AS t FROM c GROUP BY 1)
         SELECT head, next, n FROM c JOIN h USING (head) WHERE t >= 3 AND n >= 2""",
+    "fused_search": f"""
+        WITH {_postings(True)}, {_TFIDF},
+        titles AS (SELECT doc_id AS doc, trim(lower({sql.fold('substring(text, 1, 120)')})) AS t FROM documents),
+        one AS (SELECT q.q, min(doc) AS doc, 0.3 AS b FROM q JOIN titles ON t = term WHERE t <> '' GROUP BY q.q, t),
+        many AS (SELECT item_id AS q, doc, 0.3 AS b FROM benchmark JOIN titles ON contains(t, ' ') AND contains(' ' || trim(regexp_replace(lower({sql.fold('benchmark.text')}), ' +', ' ', 'g')) || ' ', ' ' || t || ' ')),
+        base AS (SELECT q, doc, sum(s) AS s FROM (SELECT q, doc, s FROM lex UNION ALL SELECT q, doc, b FROM one UNION ALL SELECT q, doc, b FROM many) GROUP BY 1, 2),
+        top AS (SELECT q, doc FROM base WHERE s > 0 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(s, 6) DESC, doc) <= 500),
+        qt AS MATERIALIZED (SELECT q, {_TRI} AS g FROM (SELECT item_id AS q, {_flat('text')} AS t FROM benchmark WHERE length(text) >= 6)),
+        dt AS MATERIALIZED (SELECT doc, {_TRI} AS g FROM (SELECT doc_id AS doc, {_flat("substring(text, 1, 120) || ' ' || text")} AS t FROM documents)),
+        tri AS (SELECT q, doc, 0.35 * len(list_intersect(dt.g, qt.g)) / len(qt.g) AS t FROM top JOIN qt USING (q) JOIN dt USING (doc) WHERE len(qt.g) > 0),
+        ranked AS (SELECT q, doc, s + coalesce(t, 0) AS s FROM base LEFT JOIN tri USING (q, doc)),
+        low AS (SELECT q FROM ranked GROUP BY 1 HAVING max(s) < 0.8),
+        braw AS (SELECT q, doc, sum(bm25 * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / a))) AS raw FROM post JOIN terms USING (term) JOIN q USING (term) JOIN low USING (q) JOIN lens USING (doc), avgd GROUP BY 1, 2),
+        bm AS (SELECT q, doc, 0.6 * raw / max(raw) OVER (PARTITION BY q) AS r FROM braw),
+        fin AS (SELECT q, doc, round(coalesce(s, 0) + coalesce(r, 0), 6) AS s FROM ranked FULL JOIN bm USING (q, doc))
+        SELECT q AS item_id, doc AS doc_id, round(s, 5) AS score FROM fin QUALIFY row_number() OVER (PARTITION BY q ORDER BY s DESC, doc) = 1 AND s >= 0.25""",
 }
