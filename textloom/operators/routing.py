@@ -33,10 +33,10 @@ def exact_route(messages: DataFrame, text: str, index: DataFrame) -> DataFrame:
 
 def keyword_weights(keywords: DataFrame, stop: list[str] | None = None) -> DataFrame:
     """``stem, weight``: ln(tags / (1 + tags with the stem)); stop words weigh nothing."""
-    n = keywords.select(F.count_distinct("tag").alias("n_tags"))
+    n = keywords.select("tag").distinct().count()
     df = keywords.select("tag", "stem").distinct().groupBy("stem").agg(F.count(F.lit(1)).alias("df"))
-    w = F.ln(F.col("n_tags") / (1 + F.col("df")))
-    return df.crossJoin(F.broadcast(n)).select("stem", F.when(F.col("stem").isin(stop or []), F.lit(0.0)).otherwise(w).alias("weight"))  # one row
+    w = F.ln(F.lit(float(n)) / (1 + F.col("df")))
+    return df.select("stem", F.when(F.col("stem").isin(stop or []), F.lit(0.0)).otherwise(w).alias("weight"))
 
 
 def attention(words: DataFrame, keywords: DataFrame, weights: DataFrame, excluded: DataFrame | None = None) -> DataFrame:

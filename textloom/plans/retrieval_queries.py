@@ -51,8 +51,7 @@ def semantic_search(spark, d):
     docs, basis = semantic.lsa(index, k=64, size=1000)
     terms = search.query_terms(queries, "item_id", "text")
     q = semantic.fold_in(basis, terms)
-    dot = F.aggregate(F.zip_with("v", "u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    sem = docs.join(F.broadcast(q), F.lit(True)).select("q", "doc", dot.alias("sem"))  # the queries are a stated set
+    sem = semantic.similarities(docs, q)
     vectors = semantic.ppmi_vectors(semantic.ppmi(index, size=500), 50)
     found = search.search(index, queries, "item_id", "text", semantic=sem, expansion=semantic.expansion(vectors, terms))
     return found.select(F.col("q").alias("item_id"), F.col("doc").alias("doc_id"), F.round("score", 3).alias("score"))

@@ -65,23 +65,41 @@ class FixedWindowLimiter(StatefulProcessor):
         pass
 
 
+class _Windows:
+    """The limiter's rule over events sorted by key and time; only the current key's window is held."""
+
+    def __init__(self, limit: int, seconds: float):
+        self.limit, self.seconds, self.key = limit, seconds, None
+
+    def feed(self, key: object, at: float) -> bool:
+        if key != self.key:
+            self.key, self.left, self.until = key, 0, float("-inf")
+        if at >= self.until:
+            self.left, self.until = self.limit, at + self.seconds
+        self.left -= 1
+        return self.left >= 0
+
+
 def allow(pdf: pd.DataFrame, limit: int = 10, seconds: float = 60.0) -> pd.DataFrame:
     """The same rule over all events of a key."""
     pdf = pdf.sort_values(["at", "id"], kind="stable")
-    left, until, allowed = 0, float("-inf"), []
-    for at in pdf["at"]:
-        if at >= until:
-            left, until = limit, at + seconds
-        allowed.append(left > 0)
-        left = max(0, left - 1)
-    return pdf.assign(allowed=allowed)
+    windows = _Windows(limit, seconds)
+    return pdf.assign(allowed=[windows.feed("", at) for at in pdf["at"]])
 
 
 def rate_limited(events: DataFrame, id_col: str, key: str, time: str, limit: int = 10, seconds: float = 60.0) -> DataFrame:
-    """Batch form: ``id, key, allowed`` for each event."""
+    """Batch form: ``id, key, allowed`` for each event.
+
+    A key's events are sorted by Spark and streamed, so a hot key needs no memory of its own.
+    """
     rows = events.select(F.col(id_col).alias("id"), F.col(key).alias("key"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"))
-    out = rows.groupBy("key").applyInPandas(lambda pdf: allow(pdf, limit, seconds)[["id", "key", "allowed"]], "id long, key long, allowed boolean")
-    return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        windows = _Windows(limit, seconds)
+        for pdf in batches:
+            yield pd.DataFrame({"id": pdf["id"], "key": pdf["key"], "allowed": [windows.feed(k, at) for k, at in zip(pdf["key"], pdf["at"])]})
+
+    return rows.repartition("key").sortWithinPartitions("key", "at", "id").mapInPandas(run, "id long, key long, allowed boolean")
 
 
 def unique_ids(stream: DataFrame, id_col: str) -> DataFrame:
