@@ -25,20 +25,51 @@ SIZE, MAX_ROWS = 1 << 15, 4_000
 KEEP_GRADE, KEEP_TAIL = 1, 0.4
 
 
-class _Shape(dict):
+class _ShapeTable(dict):
+    """Code points to what they are in a shape: A, a, 9, or themselves."""
+
+    def __missing__(self, code: int) -> int:
+        c = chr(code)
+        self[code] = found = ord("A") if c.isupper() else ord("a") if c.isalpha() else ord("9") if c.isdigit() else code
+        return found
+
+
+class _WordTable(dict):
+    """Code points that are no word characters to nothing."""
+
+    def __missing__(self, code: int) -> int | None:
+        c = chr(code)
+        self[code] = found = code if c.isalnum() or c == "_" else None
+        return found
+
+
+class _ShapeIndex(dict):
+    """Shapes, runs shortened to two, to hashed indices; bounded."""
+
+    def __missing__(self, shape: str) -> int:
+        if len(self) >= 100_000:
+            self.clear()
+        short = re.sub(r"(.)\1+", r"\1\1", shape, flags=re.S)[:12]
+        self[shape] = found = zlib.crc32(b"s" + short.encode("utf-8", "surrogatepass")) % SIZE
+        return found
+
+
+_SHAPE_OF, _WORD_OF, _SHAPE_INDEX = _ShapeTable(), _WordTable(), _ShapeIndex()
+
+
+class _Tokens(dict):
     """Tokens to the hashed indices of their word and shape; bounded."""
 
     def __missing__(self, token: str) -> tuple[int, int]:
-        shape = re.sub(r"(.)\1+", r"\1\1", re.sub(r"[^\W\d_]", lambda m: "A" if m[0].isupper() else "a", re.sub(r"\d", "9", token)))[:12]
-        word = re.sub(r"\W+", "", token.lower())
-        found = (zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) % SIZE, zlib.crc32(b"s" + shape.encode("utf-8", "surrogatepass")) % SIZE)
+        word = token.lower().translate(_WORD_OF)
+        found = (zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) % SIZE, _SHAPE_INDEX[token.translate(_SHAPE_OF)])
         if len(self) >= 300_000:
             self.clear()
         self[token] = found
         return found
 
 
-_SHAPES = _Shape()
+_SHAPES = _Tokens()
 _EXTRA = {name: zlib.crc32(b"x" + name.encode()) % SIZE for name in ("bias-length", "again", "distinct", "empty")}
 
 
