@@ -102,6 +102,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     hits = materialise(keyed.join(repeated, "digest"), "digest-hits")
     stays = hits.where(F.col("id").eqNullSafe(F.col("keep_id"))).groupBy("digest").agg(F.min("body").alias("keep_body"))
+    stays = materialise(stays, "digest-stays")  # as a scan, so that a hot digest's rows can be split in the join
     same = F.col("body") == F.col("keep_body")
     checked = materialise(
         hits.join(stays, "digest").select("digest", "id", "keep_id", "n", same.alias("same"), F.when(~same, F.col("body")).alias("odd_body"), *(["row"] if carry else [])),
