@@ -12,7 +12,8 @@ of all shingles of both. Classes are the connected components of the links.
 Copies of the same words are one node. In a bucket every member is compared with the bucket's
 smallest member, so a group of thousands of near copies costs one comparison each. Only
 buckets that still hold different components are compared further: a second star, then the
-remaining pairs of different components, so that no bucket loses a link to a cap.
+remaining pairs of different components, so that no bucket loses a link to a cap. Of those
+pairs only the ones are aligned whose sketches agree in as many entries as near texts' do.
 """
 
 from __future__ import annotations
@@ -31,7 +32,13 @@ from textloom.storage import materialise
 K, THRESHOLD = 5, 0.8
 #: Minima in an entry, entries in a band, bands: 0.8 similar texts share a band with probability 0.995.
 MINIMA, ROWS, BANDS = 3, 3, 36
+#: Numbers that hold four bits of each entry. Two texts of similarity 0.8 disagree in 49 of 108
+#: entries' bits, standard deviation 5; of the pairs that are left in mixed buckets, those that
+#: disagree in more than 61 are not aligned.
+SIGNS, MAX_DISAGREE = 9, 61
+_LOW_BITS = sum(1 << (4 * k) for k in range(ROWS * BANDS // SIGNS))
 _M1, _M2, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
+_TOP = np.uint64(2**64 - 1)
 
 
 def words_of(text: Column) -> Column:
@@ -49,6 +56,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
+_SIGN_COLUMNS = [f"g{k}" for k in range(SIGNS)]
+
+
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= 1_000_000:
@@ -93,31 +103,41 @@ class Sketcher:
         self.minima, self.rows, self.bands = minima, rows, bands
         rng = np.random.default_rng(seed)
         m = rows * bands
-        self.xor = rng.integers(0, 2**64, size=(m, 1), dtype=np.uint64)
         self.mul = rng.integers(0, 2**63, size=(m, 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salt = rng.integers(0, 2**64, size=(m,), dtype=np.uint64)
 
-    def bands_of(self, h: np.ndarray) -> np.ndarray:
-        """One 64-bit key for each band."""
+    def entries(self, h: np.ndarray) -> np.ndarray:
+        """For each hash function its smallest labelled shingles, in text order, as one hash."""
         h = labelled(h)
         n, take, m = len(h), min(self.minima, len(h)), len(self.salt)
         places = np.empty((m, take), dtype=np.int64)
         step = max(1, 2_000_000 // n)
         for lo in range(0, m, step):
-            x = (h[None, :] ^ self.xor[lo : lo + step]) * self.mul[lo : lo + step]
-            x ^= x >> np.uint64(32)
-            x *= _M1
-            places[lo : lo + step] = np.argpartition(x, take - 1, axis=1)[:, :take] if take < n else np.arange(n)[None, :]
+            x = h[None, :] * self.mul[lo : lo + step]
+            own = np.arange(len(x))
+            for j in range(take):
+                places[lo : lo + step, j] = least = x.argmin(axis=1)
+                x[own, least] = _TOP
         places.sort(axis=1)
         entry = self.salt.copy()
         for j in range(take):
             entry = _mix(entry * _MUL + h[places[:, j]])
+        return entry
+
+    def bands_of(self, entry: np.ndarray) -> np.ndarray:
+        """One 64-bit key for each band of entries."""
         entry = entry.reshape(self.bands, self.rows)
         key = np.arange(1, self.bands + 1, dtype=np.uint64) * _M1
         for j in range(self.rows):
             key = _mix(key * _MUL + entry[:, j])
         return key
 
+    @staticmethod
+    def signs(entry: np.ndarray) -> list[int]:
+        """Four bits of every entry, 12 entries to a number."""
+        four = (entry >> np.uint64(60)).astype(np.int64).reshape(SIGNS, -1)
+        return (four << (4 * np.arange(four.shape[1]))).sum(axis=1).tolist()
+
 
 def banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
     """Longest common subsequence along diagonals at most ``band`` off, bit-parallel.
@@ -166,22 +186,43 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), words.alias("words")).select("id", text_key(F.col("text"), F.col("words")).alias("node"), "words")
     id_type = docs.schema[id_col].dataType.simpleString()
 
+    names = ["id", "node", "size", "bands", *_SIGN_COLUMNS]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, seen = Sketcher(), {}
         for batch in batches:
-            sizes, keys = [], []
+            made = []
             for node, words in zip(batch.column(1).to_pylist(), batch.column(2)):
                 if (known := seen.get(node)) is None:
                     h = shingles(words.as_py())
-                    known = (len(h), sketcher.bands_of(h).astype(">u8").tobytes() if len(h) else None)
+                    if len(h):
+                        entry = sketcher.entries(h)
+                        known = (len(h), sketcher.bands_of(entry).astype(">u8").tobytes(), *sketcher.signs(entry))
+                    else:
+                        known = (0, None, *[0] * SIGNS)
                     if len(seen) > 20_000:
                         seen.clear()
                     seen[node] = known
-                sizes.append(known[0])
-                keys.append(known[1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int32()), pa.array(keys, pa.binary())], ["id", "node", "size", "bands"])
+                made.append(known)
+            columns = list(zip(*made)) if made else [[]] * (2 + SIGNS)
+            kinds = [pa.int32(), pa.binary(), *[pa.int64()] * SIGNS]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
+
+    return rows.mapInArrow(run, f"id {id_type}, node binary, size int, bands binary, " + ", ".join(f"{c} bigint" for c in _SIGN_COLUMNS))
+
 
-    return rows.mapInArrow(run, f"id {id_type}, node binary, size int, bands binary")
+def _sizes_fit(threshold: float) -> Column:
+    return F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")
+
+
+def _sketches_fit() -> Column:
+    """Whether the sketches of both sides agree in as many entries as near texts do."""
+    differ = F.lit(0)
+    for c in _SIGN_COLUMNS:
+        x = F.col(c).bitwiseXOR(F.col(f"{c}_b"))
+        x = x.bitwiseOR(F.shiftright(x, 1))
+        differ = differ + F.bit_count(x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(_LOW_BITS)))
+    return differ <= MAX_DISAGREE
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -214,30 +255,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows; further columns are ignored.
     """
     rows = materialise(_sketch(docs, id_col, text_col), "omh-rows")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("size").alias("size"), F.max("bands").alias("bands"))
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("size", "bands", *_SIGN_COLUMNS)])
     nodes = materialise(nodes, "omh-nodes")
 
     slot = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("slot")
     slots = nodes.where("size > 0").select("node", "size", "bands", slot)
     buckets = slots.select(F.substring(F.col("bands"), F.col("slot") * 8 + 1, F.lit(8)).alias("key"), "node", "size")
-    shared = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # what is joined to a bucket's members is a table, so that a hot bucket can be split in the join
+    shared = materialise(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "omh-shared")
     members = materialise(buckets.join(shared, "key"), "omh-buckets")
 
     wanted = members.select("node").distinct().join(nodes.select("node", F.col("id").alias("own")), "node")
-    words = words_of(docs[text_col])
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), words.alias("words")).select("id", text_key(F.col("text"), F.col("words")).alias("t_node"), "words")
-    texts = source.join(wanted, (source["t_node"] == wanted["node"]) & source["id"].eqNullSafe(wanted["own"])).select("node", "words").groupBy("node").agg(F.first("words").alias("words"))
+    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    # joined by id alone and written, so that only wanted texts are taken apart; by a merge at every size
+    wanted = wanted.withColumnRenamed("node", "want").hint("merge")
+    found = materialise(source.join(wanted, source["id"].eqNullSafe(wanted["own"])).select("want", "text"), "omh-found").withColumn("words", words_of(F.col("text")))
+    texts = found.where(F.col("want") == text_key(F.col("text"), F.col("words"))).groupBy(F.col("want").alias("node")).agg(F.first("words").alias("words"))
     texts = materialise(texts, "omh-texts")
 
-    close = F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")
     links = tested = labels = None
     rest = members.withColumn("label", F.col("node"))
     for _ in range(2):
         if rest.isEmpty():
             break
         centre = rest.groupBy("key").agg(F.min(F.struct("label", "node", "size")).alias("c"))
-        star = rest.join(centre, "key").select("node", "size", "label", F.col("c.node").alias("b"), F.col("c.size").alias("size_b"), F.col("c.label").alias("label_b"))
-        star = star.where((F.col("label") != F.col("label_b")) & close)
+        centre = materialise(centre.select("key", F.col("c.node").alias("b"), *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("label", "size")]), "omh-centres")
+        star = rest.join(centre, "key").where((F.col("label") != F.col("label_b")) & _sizes_fit(threshold))
         star = star.select(F.greatest("node", "b").alias("b"), F.least("node", "b").alias("a")).select("a", "b").distinct()
         if tested is not None:
             star = star.join(tested, ["a", "b"], "left_anti")
@@ -248,8 +291,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(links)
         rest = _unsettled(members, labels)
     if links is not None and not rest.isEmpty():
-        other = rest.select("key", F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-        pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & close)
+        rest = materialise(rest.join(nodes.select("node", *_SIGN_COLUMNS), "node"), "omh-signed")
+        other = rest.select("key", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "size", *_SIGN_COLUMNS)])
+        pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_fit(threshold) & _sketches_fit())
         pairs = pairs.select(F.col("node").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
         found = materialise(_verified(pairs, texts, threshold), "omh-links")
         if not found.isEmpty():
@@ -270,14 +314,17 @@ def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their component, of the buckets that hold more than one component."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = materialise(named, "omh-named")
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    mixed = materialise(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "omh-mixed")
     return materialise(named.join(mixed, "key"), "omh-rest")
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The input rows without those of a class that are not its smallest id; columns as given."""
-    gone = near_duplicates(docs, id_col, text_col, threshold).where("not kept").select(F.col(id_col).alias("__gone_id"), F.unhex("node").alias("__gone_node"))
-    words = words_of(docs[text_col])
-    keyed = docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), docs[id_col].alias("id"), text_key(docs[text_col], words).alias("t_node"))
-    left = keyed.join(gone, (keyed["t_node"] == gone["__gone_node"]) & keyed["id"].eqNullSafe(gone["__gone_id"]), "left_anti")
-    return left.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    """The input rows without those of a class that are not its smallest id; columns as given.
+
+    Rows are joined by id; only where an id is to go is the text looked at again.
+    """
+    gone = near_duplicates(docs, id_col, text_col, threshold).where("not kept").groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set(F.unhex("node")).alias("gone_nodes"))
+    keyed = docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
+    both = keyed.join(gone, keyed["id"].eqNullSafe(gone["gone_id"]), "left")
+    stays = F.when(F.col("gone_nodes").isNull(), True).otherwise(~F.array_contains("gone_nodes", text_key(F.col("text"), words_of(F.col("text")))))
+    return both.where(stays).select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
