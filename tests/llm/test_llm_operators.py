@@ -343,3 +343,10 @@ def test_sparse_rows():
 
     rows = Rows([(np.array([0, 2]), np.array([1.0, 2.0])), (np.array([], dtype=int), np.array([])), (np.array([1]), np.array([3.0]))], 3)
     assert rows.dot(np.array([1.0, 1.0, 1.0])).tolist() == [3.0, 0.0, 3.0] and rows.take(np.array([False, False, True])).t_dot(np.array([2.0])).tolist() == [0.0, 6.0, 0.0]
+
+
+def test_components_joined_by_further_links(spark):
+    labels = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5)], "node int, label int")
+    found = spark.createDataFrame([(2, 6), (1, 6), (6, 9), (11, 12)], "a int, b int")
+    got = {r["label"]: r["to_label"] for r in order_minhash._joined_components(found, labels).collect()}
+    assert got == {1: 1, 5: 1, 9: 1, 11: 11, 12: 11}

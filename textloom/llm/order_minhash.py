@@ -273,7 +273,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = found.where(F.col("want") == text_key(F.col("text"), F.col("words"))).groupBy(F.col("want").alias("node")).agg(F.first("words").alias("words"))
     texts = materialise(texts, "omh-texts")
 
-    links = tested = labels = None
+    links = tested = labels = joined = None
     rest = members.withColumn("label", F.col("node"))
     for _ in range(2):
         if rest.isEmpty():
@@ -297,11 +297,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         pairs = pairs.select(F.col("node").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
         found = materialise(_verified(pairs, texts, threshold), "omh-links")
         if not found.isEmpty():
-            labels = components(links.unionByName(found))
+            joined = _joined_components(found, labels)
 
     spread = nodes.select("node", "id", "n")
     spread = spread.join(labels, "node", "left") if labels is not None else spread.withColumn("label", F.lit(None).cast("binary"))
     spread = spread.withColumn("label", F.coalesce("label", "node"))
+    if joined is not None:
+        spread = spread.join(joined, "label", "left").withColumn("label", F.coalesce("to_label", "label")).drop("to_label")
     classes = spread.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
     known = spread.join(classes, "label").select("node", "class_id", "class_size")
     out = rows.select("id", "node").join(known, "node", "left")
@@ -310,6 +312,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
 
 
+def _joined_components(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """``label, to_label``: components that further links join, by one edge for each two of them."""
+    own = labels.select(F.col("node").alias("a"), F.col("label").alias("la"))
+    other = labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+    named = found.join(own, "a", "left").join(other, "b", "left")
+    edges = named.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")).distinct()
+    return components(edges).select(F.col("node").alias("label"), F.col("label").alias("to_label"))
+
+
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members, with their component, of the buckets that hold more than one component."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
