@@ -350,3 +350,31 @@ def test_components_joined_by_further_links(spark):
     found = spark.createDataFrame([(2, 6), (1, 6), (6, 9), (11, 12)], "a int, b int")
     got = {r["label"]: r["to_label"] for r in order_minhash._joined_components(found, labels).collect()}
     assert got == {1: 1, 5: 1, 9: 1, 11: 11, 12: 11}
+
+
+def test_short_near_duplicates_are_all_found(spark):
+    """A text of 8 words and itself with one word more: 4 shingles of 5, at the threshold."""
+    rng = random.Random(5)
+    texts = []
+    for _ in range(400):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9)]
+        texts += [" ".join(words[:8]), " ".join(words)]
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {k: k - k % 2 for k in range(len(texts))}
+
+
+def test_parities_leave_out_no_link():
+    rng = random.Random(6)
+    for n in [*range(5, 40), 100, 400]:
+        a = [f"w{rng.randrange(30 if n % 2 else 10**6)}" for _ in range(n)]
+        for _ in range(20):
+            b = list(a)
+            for _ in range(rng.randrange(1, 4)):
+                k = rng.randrange(len(b))
+                b[k : k + rng.randrange(2)] = [f"x{rng.randrange(10**6)}"] * rng.randrange(2)
+            x, y = (order_minhash.shingles(" ".join(t)) for t in (a, b))
+            if order_minhash.alignment_similarity(x, y) >= 0.8:
+                differ = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(order_minhash.parities(x), order_minhash.parities(y)))
+                assert differ <= (len(x) + len(y)) / 9 + 1e-6
+                common = order_minhash.labelled(x)[:3]
+                assert set(order_minhash.prefix_keys(x, common, 0.8)) & set(order_minhash.prefix_keys(y, common, 0.8))

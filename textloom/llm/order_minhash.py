@@ -13,11 +13,18 @@ Copies of the same words are one node. In a bucket every member is compared with
 smallest member, so a group of thousands of near copies costs one comparison each. Only
 buckets that still hold different components are compared further: a second star, then the
 remaining pairs of different components, so that no bucket loses a link to a cap. Of those
-pairs only the ones are aligned whose sketches agree in as many entries as near texts' do.
+pairs only the ones are aligned whose shingles can be alike enough: each text has a bitmap of
+the parities of its labelled shingles, and two bitmaps never differ in more bits than the
+texts differ in shingles, so this leaves out no link.
+
+Texts of few shingles are too coarse for bands. They are found by their prefixes: in any fixed
+order of all shingles, two texts of at least ``threshold`` share one of the first ``n -
+ceil(threshold * n) + 1`` of each. The order puts shingles that a sample has often last.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,11 +39,12 @@ from textloom.storage import materialise
 K, THRESHOLD = 5, 0.8
 #: Minima in an entry, entries in a band, bands: 0.8 similar texts share a band with probability 0.995.
 MINIMA, ROWS, BANDS = 3, 3, 36
-#: Numbers that hold four bits of each entry. Two texts of similarity 0.8 disagree in 49 of 108
-#: entries' bits, standard deviation 5; of the pairs that are left in mixed buckets, those that
-#: disagree in more than 61 are not aligned.
-SIGNS, MAX_DISAGREE = 9, 61
-_LOW_BITS = sum(1 << (4 * k) for k in range(ROWS * BANDS // SIGNS))
+#: Texts of at most so many shingles are found by their prefixes and not by bands.
+SHORT = 40
+#: Numbers that hold the bitmap of shingle parities, 64 bits each.
+SIGNS = 9
+#: One text in so many is looked at for common shingles; counts and number of those that go last.
+SAMPLE, COMMON, MOST_COMMON = 16, 4, 100_000
 _M1, _M2, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 _TOP = np.uint64(2**64 - 1)
 
@@ -132,11 +140,18 @@ class Sketcher:
             key = _mix(key * _MUL + entry[:, j])
         return key
 
-    @staticmethod
-    def signs(entry: np.ndarray) -> list[int]:
-        """Four bits of every entry, 12 entries to a number."""
-        four = (entry >> np.uint64(60)).astype(np.int64).reshape(SIGNS, -1)
-        return (four << (4 * np.arange(four.shape[1]))).sum(axis=1).tolist()
+
+def parities(h: np.ndarray) -> list[int]:
+    """Bitmap of the parities of labelled shingles, by residue; differs in at most as many bits as shingles differ."""
+    bits = np.bincount((labelled(h) % np.uint64(64 * SIGNS)).astype(np.int64), minlength=64 * SIGNS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+
+
+def prefix_keys(h: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
+    """The first labelled shingles, common ones last, of which any text of at least ``threshold`` has one among its own."""
+    h = labelled(h)
+    order = np.lexsort((h, np.isin(h, common)))
+    return h[order[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1]]
 
 
 def banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -181,12 +196,29 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESH
     return common / (n + m - common)
 
 
-def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _common_shingles(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> np.ndarray:
+    """Labelled shingles that a sample of the short texts has often; they only order prefixes."""
+    rows = docs.where(F.pmod(F.xxhash64(docs[id_col]), F.lit(SAMPLE)) == 0).select(words_of(docs[text_col]).alias("words"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [shingles(words.as_py()) for words in batch.column(0)]
+            found = [labelled(h) for h in found if 0 < len(h) <= SHORT / threshold + 1e-9]
+            flat = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], ["h"])
+
+    counted = rows.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    top = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()
+    return np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)
+
+
+def _sketch(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
     words = words_of(docs[text_col])
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), words.alias("words")).select("id", text_key(F.col("text"), F.col("words")).alias("node"), "words")
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    names = ["id", "node", "size", "bands", *_SIGN_COLUMNS]
+    names = ["id", "node", "size", "keys", *_SIGN_COLUMNS]
+    held = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, id_col, text_col, threshold))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, seen = Sketcher(), {}
@@ -196,8 +228,10 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 if (known := seen.get(node)) is None:
                     h = shingles(words.as_py())
                     if len(h):
-                        entry = sketcher.entries(h)
-                        known = (len(h), sketcher.bands_of(entry).astype(">u8").tobytes(), *sketcher.signs(entry))
+                        keys = [prefix_keys(h, held.value, threshold)] if len(h) <= SHORT / threshold + 1e-9 else []
+                        if len(h) > SHORT:
+                            keys.append(sketcher.bands_of(sketcher.entries(h)))
+                        known = (len(h), np.concatenate(keys).view(np.int64), *parities(h))
                     else:
                         known = (0, None, *[0] * SIGNS)
                     if len(seen) > 20_000:
@@ -205,24 +239,22 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     seen[node] = known
                 made.append(known)
             columns = list(zip(*made)) if made else [[]] * (2 + SIGNS)
-            kinds = [pa.int32(), pa.binary(), *[pa.int64()] * SIGNS]
+            kinds = [pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * SIGNS]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
 
-    return rows.mapInArrow(run, f"id {id_type}, node binary, size int, bands binary, " + ", ".join(f"{c} bigint" for c in _SIGN_COLUMNS))
+    return rows.mapInArrow(run, f"id {id_type}, node binary, size int, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in _SIGN_COLUMNS))
 
 
 def _sizes_fit(threshold: float) -> Column:
     return F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")
 
 
-def _sketches_fit() -> Column:
-    """Whether the sketches of both sides agree in as many entries as near texts do."""
+def _parities_fit(threshold: float) -> Column:
+    """False only where the shingles of both sides differ in more places than the threshold allows."""
     differ = F.lit(0)
     for c in _SIGN_COLUMNS:
-        x = F.col(c).bitwiseXOR(F.col(f"{c}_b"))
-        x = x.bitwiseOR(F.shiftright(x, 1))
-        differ = differ + F.bit_count(x.bitwiseOR(F.shiftright(x, 2)).bitwiseAND(F.lit(_LOW_BITS)))
-    return differ <= MAX_DISAGREE
+        differ = differ + F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b")))
+    return differ <= (F.col("size") + F.col("size_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -254,13 +286,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other ids. Rows that repeat id and text are the same document and marked alike. An empty
     table gives no rows; further columns are ignored.
     """
-    rows = materialise(_sketch(docs, id_col, text_col), "omh-rows")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("size", "bands", *_SIGN_COLUMNS)])
+    rows = materialise(_sketch(docs, id_col, text_col, threshold), "omh-rows")
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("size", "keys", *_SIGN_COLUMNS)])
     nodes = materialise(nodes, "omh-nodes")
 
-    slot = F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))).alias("slot")
-    slots = nodes.where("size > 0").select("node", "size", "bands", slot)
-    buckets = slots.select(F.substring(F.col("bands"), F.col("slot") * 8 + 1, F.lit(8)).alias("key"), "node", "size")
+    buckets = nodes.where("size > 0").select(F.explode("keys").alias("key"), "node", "size")
     # what is joined to a bucket's members is a table, so that a hot bucket can be split in the join
     shared = materialise(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "omh-shared")
     members = materialise(buckets.join(shared, "key"), "omh-buckets")
@@ -291,9 +321,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(links)
         rest = _unsettled(members, labels)
     if links is not None and not rest.isEmpty():
-        rest = materialise(rest.join(nodes.select("node", *_SIGN_COLUMNS), "node"), "omh-signed")
-        other = rest.select("key", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "size", *_SIGN_COLUMNS)])
-        pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_fit(threshold) & _sketches_fit())
+        rest = materialise(rest.join(nodes.select("node", "keys", *_SIGN_COLUMNS), "node"), "omh-signed")
+        other = rest.select("key", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "size", "keys", *_SIGN_COLUMNS)])
+        # a pair is made in one bucket only: each bucket that it shares is here, as the labels differ
+        once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_b"))
+        pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_fit(threshold) & _parities_fit(threshold) & once)
         pairs = pairs.select(F.col("node").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
         found = materialise(_verified(pairs, texts, threshold), "omh-links")
         if not found.isEmpty():
