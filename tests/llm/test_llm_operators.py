@@ -378,3 +378,17 @@ def test_parities_leave_out_no_link():
                 assert differ <= (len(x) + len(y)) / 9 + 1e-6
                 common = order_minhash.labelled(x)[:3]
                 assert set(order_minhash.prefix_keys(x, common, 0.8)) & set(order_minhash.prefix_keys(y, common, 0.8))
+
+
+def test_every_occurrence_of_an_item_is_judged():
+    item = "She bought 12 red apples and then 12 green apples and then 12 ripe pears for the party"
+    mixed = item.replace("12 red", "3 red").replace("12 green", "4 green")
+    block = template_decontam.Block([(1, item)], 8, 0.5)
+    assert list(block.hits(mixed, 0.5)) == []
+    filler = " ".join(f"word{chr(97 + k % 26)}" for k in range(300))
+    for between in (filler, "so"):
+        (hit,) = block.hits(f"{mixed}. {between}. {item}", 0.5)
+        assert hit[0] == 1 and hit[2] == 1.0 and hit[3]
+    # of the last occurrence only a part is left; the first, near it, must not spoil it
+    (hit,) = block.hits(f"{mixed}. So {item[len('She bought '):]}", 0.5)
+    assert 0.5 <= hit[2] < 1.0 and hit[3]

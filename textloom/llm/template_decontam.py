@@ -5,7 +5,7 @@ version share their template. Benchmark items give windows of template tokens; a
 windows are looked up in a hash table of them. Windows of one item on one alignment are put
 together, and the alignment counts if it covers enough of the item and the values in its slots
 are consistent: each of the item's values is replaced by one value throughout, and different
-values stay different.
+values stay different. Every occurrence in the document is judged by itself.
 
 The benchmark is a query set: it is taken in blocks of at most ``block_windows`` windows, each
 shipped to the executors, and every document is looked up whole in each block. Documents are
@@ -15,6 +15,7 @@ never shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -109,31 +110,49 @@ class Block:
         for k, runs in joined.items():
             item_id, own, own_values, total, _ = self.items[k]
             runs.sort(key=lambda r: (-r[0], r[1]))
-            # alignments near the best one: an insertion shifts the rest of the passage
-            lead = runs[0][1]
-            near = [r for r in runs if abs(r[1] - lead) <= len(own)]
-            covered: set[int] = set()
-            slots, same, good = [], True, True
-            for _, shift, starts in near:
-                fresh = starts - covered
-                covered |= starts
-                size = min(self.window, len(own))
-                for j in sorted({s + d for s in fresh for d in range(size)}):
-                    if own[j][0] == "\x01":
-                        slots.append((own[j], own_values[j], values[j + shift]))
-                    same &= own_values[j] == values[j + shift]
-            good = consistent(slots)
-            share = len(covered) / total
-            if share >= coverage and good:
-                best[k] = (item_id, len(covered), share, same, len({(t, a) for t, a, b in slots if a != b}))
+            by_shift = sorted(runs, key=lambda r: r[1])
+            shifts = [r[1] for r in by_shift]
+            # every alignment leads once; those near it count too: an insertion shifts the rest of the passage
+            for lead in runs:
+                near = by_shift[bisect_left(shifts, lead[1] - len(own)) : bisect_right(shifts, lead[1] + len(own))]
+                if len(set().union(*(r[2] for r in near))) < max(coverage * total, best[k][1] if k in best else 0):
+                    continue
+                near.sort(key=lambda r: (r is not lead, -r[0], r[1]))
+                n, same, changed = self._judged(own, own_values, near, values)
+                if n and n / total >= coverage and (k not in best or (n, same) > (best[k][1], best[k][3])):
+                    best[k] = (item_id, n, n / total, same, changed)
+                if k in best and best[k][1] == total and best[k][3]:
+                    break
         yield from (best[k] for k in sorted(best))
 
+    def _judged(self, own: list[str], own_values: list[str], near: list, values: list[str]) -> tuple[int, bool, int]:
+        """Windows, whether the words are the same and replaced slots of one occurrence, leading alignment first.
+
+        An alignment near the leading one whose slots don't agree with it belongs to another
+        occurrence and is left out; no windows if the leading one doesn't agree with itself.
+        """
+        size = min(self.window, len(own))
+        covered: set[int] = set()
+        slots, same = [], True
+        for _, shift, starts in near:
+            places = sorted({s + d for s in starts - covered for d in range(size)})
+            more = slots + [(own[j], own_values[j], values[j + shift]) for j in places if own[j][0] == "\x01"]
+            if not consistent(more):
+                if not covered:
+                    break
+                continue
+            slots = more
+            covered |= starts
+            same &= all(own_values[j] == values[j + shift] for j in places)
+        return len(covered), same, len({(t, a) for t, a, b in slots if a != b})
+
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, coverage: float = COVERAGE, literals: float = LITERALS, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row per document row and benchmark item found in it.
 
     Columns: ``doc_id, item_id, n_windows, coverage, verbatim, n_changed`` (``verbatim``: the
-    covered words are the item's own; ``n_changed``: distinct slot values that were replaced).
+    covered words are the item's own; ``n_changed``: distinct slot values that were replaced), of
+    the occurrence that has most windows.
     Null or empty texts match nothing, nor do items without words. An item shorter than the
     window is one window; an item of placeholders only is matched by its values. Rows repeated
     in either table give repeated hits. An empty table on either side gives no rows; further
