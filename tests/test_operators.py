@@ -171,3 +171,14 @@ def test_registered_queries_have_columns(spark):
     assert set(sql) <= set(entry.queries()) and len(sql) > 40
     assert entry.entry(spark).limit(1).count() == 1
     assert json.dumps(sorted(sql))
+
+
+def test_documents_are_compared_by_their_whole_first_line(spark, tmp_path):
+    from textloom.plans.pair_queries import dedupe_documents
+
+    head = " ".join(f"word{k}" for k in range(60))
+    first = [f"{head} {' '.join(f'{c}{k}' for k in range(60))}" for c in "ab"]
+    texts = [f"{first[0]}\nx", f"{first[1]}\ny", f"\n {first[0]}\nz", "short\nlines follow", "short\nother lines"]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["ord"]: r["reason"] for r in dedupe_documents(spark, str(tmp_path)).collect()}
+    assert got == {0: None, 1: None, 2: "similar", 3: None, 4: "similar"}

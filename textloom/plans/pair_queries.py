@@ -27,9 +27,9 @@ def training_pairs(spark, d):
 
 
 def dedupe_documents(spark, d):
-    """Ordered dedupe of documents as pairs: the text's first line as context, the source as part of the response."""
+    """Ordered dedupe of documents as pairs: the text's first line that isn't blank as context, the text as response."""
     docs = table(spark, d, "documents")
-    rows = docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("resp"), F.substring("text", 1, 200).alias("ctx"))
+    rows = docs.select(F.col("doc_id").alias("ord"), F.col("text").alias("resp"), F.substring_index(F.regexp_replace("text", r"^\s+", ""), "\n", 1).alias("ctx"))
     return dedupe.dedupe_pairs(rows)
 
 
