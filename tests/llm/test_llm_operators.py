@@ -392,3 +392,11 @@ def test_every_occurrence_of_an_item_is_judged():
     # of the last occurrence only a part is left; the first, near it, must not spoil it
     (hit,) = block.hits(f"{mixed}. So {item[len('She bought '):]}", 0.5)
     assert 0.5 <= hit[2] < 1.0 and hit[3]
+
+
+def test_suffix_statistics_are_of_all_labelled_urls(spark):
+    urls = [f"http://h{k}.site{k % 7}.org/{k}" for k in range(200)]
+    y = [int(k % 7 < 3) for k in range(200)]
+    rows = spark.createDataFrame(list(zip(urls, y)), "url string, blocked int").repartition(3)
+    model = url_trees.train_urls(rows.unionByName(rows.limit(9)), max_rows=20)
+    assert model.suffixes == url_trees.suffix_statistics(urls, y) and model.trees

@@ -176,9 +176,12 @@ def _grow(x: np.ndarray, binned: np.ndarray, bounds: list[np.ndarray], g: np.nda
     return Tree(feature, bound, -rate * sg / (sh + ridge))
 
 
-def fit_boosted(urls: list[str], y: list[int], trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE) -> Boosted:
-    """Logistic gradient boosting; without both labels, a constant (allow if there are none)."""
-    stats = suffix_statistics(urls, y)
+def fit_boosted(urls: list[str], y: list[int], trees: int = TREES, depth: int = DEPTH, bins: int = BINS, rate: float = RATE, stats: SuffixStatistics | None = None) -> Boosted:
+    """Logistic gradient boosting; without both labels, a constant (allow if there are none).
+
+    ``stats`` are those of all labelled URLs, these among them; without them, of these URLs.
+    """
+    stats = stats or suffix_statistics(urls, y)
     if not y or sum(y) in (0, len(y)):
         return Boosted(10.0 if y and sum(y) else -10.0, [], stats)
     x = np.array([lexical(u) + stats.of(u, own) for u, own in zip(urls, y)], dtype=float)
@@ -195,11 +198,28 @@ def fit_boosted(urls: list[str], y: list[int], trees: int = TREES, depth: int =
     return Boosted(base, grown, stats)
 
 
+def all_suffix_statistics(rows: DataFrame) -> SuffixStatistics:
+    """Statistics of all labelled URLs ``u, y``, counted on the executors; null stands for all URLs together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            y = [int(v > 0) for v in batch.column(1).to_pylist()]
+            part = suffix_statistics(batch.column(0).to_pylist(), y)
+            names = [None, *part.total]
+            columns = [pa.array(names, pa.string()), pa.array([len(y), *part.total.values()], pa.int64()), pa.array([sum(y), *(part.blocked[s] for s in part.total)], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["suffix", "total", "blocked"])
+
+    counted = rows.select("u", "y").mapInArrow(run, "suffix string, total long, blocked long").groupBy("suffix").agg(F.sum("total").alias("total"), F.sum("blocked").alias("blocked")).collect()
+    share = next((r["blocked"] / r["total"] for r in counted if r["suffix"] is None and r["total"]), 0.0)
+    known = [r for r in counted if r["suffix"] is not None]
+    return SuffixStatistics({r["suffix"]: r["blocked"] for r in known}, {r["suffix"]: r["total"] for r in known}, share)
+
+
 def train_urls(labelled: DataFrame, url_col: str = "url", label_col: str = "blocked", max_rows: int = MAX_ROWS) -> Boosted:
-    """Fit on at most ``max_rows`` labelled URLs, chosen by a hash, the same ones at each run."""
+    """Suffix statistics of all labelled URLs; trees fitted on at most ``max_rows``, chosen by a hash, the same ones at each run."""
     rows = labelled.select(labelled[url_col].alias("u"), labelled[label_col].cast("int").alias("y")).where("u is not null and y is not null").distinct()
     found = rows.orderBy(F.xxhash64("u", "y"), "u", "y").limit(max_rows).collect()
-    return fit_boosted([r["u"] for r in found], [int(r["y"] > 0) for r in found])
+    return fit_boosted([r["u"] for r in found], [int(r["y"] > 0) for r in found], stats=all_suffix_statistics(rows))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], model: Boosted, id_col: str = "page_id", url_col: str = "url", block_at: float = BLOCK_AT) -> DataFrame:
