@@ -182,3 +182,14 @@ def test_documents_are_compared_by_their_whole_first_line(spark, tmp_path):
     spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["ord"]: r["reason"] for r in dedupe_documents(spark, str(tmp_path)).collect()}
     assert got == {0: None, 1: None, 2: "similar", 3: None, 4: "similar"}
+
+
+def test_merges_are_learned_from_all_words(spark, tmp_path):
+    from textloom.plans.retrieval_queries import bpe_pieces
+
+    names = [f"{a}{b}{c}" for a in "abcdefghijklmnopqrs" for b in "abcdefghijklmnopqrs" for c in "abcdefghijklmnopqrs"]
+    # the pair x, y is in rare words only, each of them once
+    text = " ".join(names[:5200] * 2 + [f"xy{n}" for n in names[:6000]])
+    spark.createDataFrame([(0, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0, "xy")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    assert [r["pieces"] for r in bpe_pieces(spark, str(tmp_path)).collect()] == ["xy"]

@@ -1,7 +1,7 @@
 """Subword statistics and training, Markov counts, and the encoders that apply them.
 
 Counting is distributed; the merge loop itself is sequential and runs on the driver over the
-table of frequent distinct words, whose size is bounded by ``max_words``.
+table of distinct words, bounded by ``max_words`` if that is given.
 """
 
 from __future__ import annotations
@@ -75,10 +75,13 @@ def train_merges(words: dict[str, int], vocab_size: int, alphabet: list[str], le
     return merges
 
 
-def train_bpe(docs: DataFrame, text: str, vocab_size: int, alphabet: list[str], least: int = 2, max_words: int = MAX_WORDS) -> list[tuple[str, str]]:
-    """Merges learned from the ``max_words`` most frequent distinct words."""
-    top = word_frequency(docs, text).orderBy(F.col("n").desc(), "word").limit(max_words).collect()
-    return train_merges({r["word"]: r["n"] for r in top}, vocab_size, alphabet, least)
+def train_bpe(docs: DataFrame, text: str, vocab_size: int, alphabet: list[str], least: int = 2, max_words: int | None = MAX_WORDS) -> list[tuple[str, str]]:
+    """Merges learned from the ``max_words`` most frequent distinct words; from all words if None."""
+    if max_words is None:
+        words = {r["word"]: r["n"] for r in word_frequency(docs, text, 1).toLocalIterator()}
+    else:
+        words = {r["word"]: r["n"] for r in word_frequency(docs, text).orderBy(F.col("n").desc(), "word").limit(max_words).collect()}
+    return train_merges(words, vocab_size, alphabet, least)
 
 
 def encode_word(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:

@@ -114,7 +114,7 @@ def markov_transitions(spark, d):
 def bpe_pieces(spark, d):
     """Subwords of the benchmark texts by merges learned from the documents."""
     alphabet = [chr(c) for c in range(97, 123)]
-    merges = subwords.train_bpe(table(spark, d, "documents"), "text", 400, alphabet, max_words=5_000)
+    merges = subwords.train_bpe(table(spark, d, "documents"), "text", 400, alphabet, max_words=None)
     return subwords.encode_texts(table(spark, d, "benchmark"), "item_id", "text", merges).select(F.col("id").alias("item_id"), F.array_join("pieces", " ").alias("pieces"))
 
 
