@@ -37,7 +37,7 @@ from textloom.llm.components import components
 from textloom.storage import materialise
 
 K, THRESHOLD = 5, 0.8
-#: Minima in an entry, entries in a band, bands: 0.8 similar texts share a band with probability 0.995.
+#: Minima in an entry, entries in a band, bands: 0.8 similar texts share a band with probability 0.993 or more.
 MINIMA, ROWS, BANDS = 3, 3, 36
 #: Texts of at most so many shingles are found by their prefixes and not by bands.
 SHORT = 40
