@@ -10,22 +10,24 @@ no wider than the threshold allows, and linked if aligned shingles are at least
 of all shingles of both. Classes are the connected components of the links.
 
 Copies of the same words are one node. In a bucket every member is compared with the bucket's
-smallest member, so a group of thousands of near copies costs one comparison each. Only
-buckets that still hold different components are compared further: a second star, then the
-remaining pairs of different components, so that no bucket loses a link to a cap. Of those
-pairs only the ones are aligned whose shingles can be alike enough: each text has a bitmap of
-the parities of its labelled shingles, and two bitmaps never differ in more bits than the
-texts differ in shingles, so this leaves out no link.
-
-Texts of few shingles are too coarse for bands. They are found by their prefixes: in any fixed
-order of all shingles, two texts of at least ``threshold`` share one of the first ``n -
-ceil(threshold * n) + 1`` of each. The order puts shingles that a sample has often last.
+smallest member, so a group of thousands of near copies costs one comparison each. Buckets that
+then hold different components get a second star.
+
+What is still mixed is settled by an exact prefix join. In any fixed order of all shingles, two
+texts of at least ``threshold`` share one of the first ``n - ceil(threshold * n) + 1`` of the
+larger and of the first ``n - ceil(2 threshold / (1 + threshold) * n) + 1`` of the smaller, and
+what stands before the first shared one is lost to the overlap. The order is rarest first, by
+counts of all shingles in a table of fixed size, so a text with many shingles of its own is in
+nobody's way: only texts that agree nearly enough meet, and no link is lost to a cap.
+
+Texts of few shingles are too coarse for bands; their buckets are their prefixes.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.bit_filter import bit_filter, may_contain, surely_absent
 from textloom.llm.components import components
 from textloom.storage import materialise
 
@@ -41,10 +44,14 @@ K, THRESHOLD = 5, 0.8
 MINIMA, ROWS, BANDS = 3, 3, 36
 #: Texts of at most so many shingles are found by their prefixes and not by bands.
 SHORT = 40
-#: Numbers that hold the bitmap of shingle parities, 64 bits each.
+#: Counters of the table by which shingles are ordered; it has the same size for any corpus.
+SLOTS = 1 << 18
+#: Shingles before each one of a prefix that are looked at to make a pair at its first shared shingle only.
+BEFORE = 12
+#: Word hashes that a worker remembers.
+KNOWN_WORDS = 100_000
+#: Numbers that hold a bitmap of shingle parities, 64 bits each.
 SIGNS = 9
-#: One text in so many is looked at for common shingles; counts and number of those that go last.
-SAMPLE, COMMON, MOST_COMMON = 16, 4, 100_000
 _M1, _M2, _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x100000001B3)
 _TOP = np.uint64(2**64 - 1)
 
@@ -64,12 +71,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-_SIGN_COLUMNS = [f"g{k}" for k in range(SIGNS)]
-
-
 class _WordHash(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= KNOWN_WORDS:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -115,8 +119,7 @@ class Sketcher:
         self.salt = rng.integers(0, 2**64, size=(m,), dtype=np.uint64)
 
     def entries(self, h: np.ndarray) -> np.ndarray:
-        """For each hash function its smallest labelled shingles, in text order, as one hash."""
-        h = labelled(h)
+        """For each hash function the smallest of these labelled shingles, in text order, as one hash."""
         n, take, m = len(h), min(self.minima, len(h)), len(self.salt)
         places = np.empty((m, take), dtype=np.int64)
         step = max(1, 2_000_000 // n)
@@ -141,17 +144,20 @@ class Sketcher:
         return key
 
 
-def parities(h: np.ndarray) -> list[int]:
-    """Bitmap of the parities of labelled shingles, by residue; differs in at most as many bits as shingles differ."""
-    bits = np.bincount((labelled(h) % np.uint64(64 * SIGNS)).astype(np.int64), minlength=64 * SIGNS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64).tolist()
+def prefix_length(n: int, threshold: float) -> int:
+    """Of so many shingles, in any fixed order, a text of at least ``threshold`` has one of the first this many."""
+    return n - math.ceil(threshold * n - 1e-9) + 1
 
 
-def prefix_keys(h: np.ndarray, common: np.ndarray, threshold: float) -> np.ndarray:
-    """The first labelled shingles, common ones last, of which any text of at least ``threshold`` has one among its own."""
-    h = labelled(h)
-    order = np.lexsort((h, np.isin(h, common)))
-    return h[order[: len(h) - math.ceil(threshold * len(h) - 1e-9) + 1]]
+def rarest_first(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Labelled shingles by their slot's count, then by value: the same order in every text."""
+    return h[np.lexsort((h, counts[(h % np.uint64(SLOTS)).astype(np.int64)]))]
+
+
+def parities(h: np.ndarray) -> np.ndarray:
+    """Bitmap of the parities of labelled shingles, by residue: two differ in at most as many bits as the texts in shingles."""
+    bits = np.bincount((h % np.uint64(64 * SIGNS)).astype(np.int64), minlength=64 * SIGNS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
 def banded_lcs(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -196,65 +202,132 @@ def alignment_similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESH
     return common / (n + m - common)
 
 
-def _common_shingles(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> np.ndarray:
-    """Labelled shingles that a sample of the short texts has often; they only order prefixes."""
-    rows = docs.where(F.pmod(F.xxhash64(docs[id_col]), F.lit(SAMPLE)) == 0).select(words_of(docs[text_col]).alias("words"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingles(words.as_py()) for words in batch.column(0)]
-            found = [labelled(h) for h in found if 0 < len(h) <= SHORT / threshold + 1e-9]
-            flat = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64))], ["h"])
-
-    counted = rows.mapInArrow(run, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    top = counted.orderBy(F.desc("n"), "h").limit(MOST_COMMON).select("h").collect()
-    return np.array([r[0] for r in top], dtype=np.int64).view(np.uint64)
+def _slot_counts(slots: DataFrame) -> np.ndarray:
+    """The table of counts of (slot, n) rows; its size doesn't depend on the corpus."""
+    found = slots.groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(SLOTS, dtype=np.int32)
+    counts[found.column("slot").to_numpy()] = np.minimum(found.column("n").to_numpy(), 2**31 - 1)
+    return counts
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Rows with their node, number of shingles, bands and, of short texts, all labelled shingles."""
     words = words_of(docs[text_col])
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), words.alias("words")).select("id", text_key(F.col("text"), F.col("words")).alias("node"), "words")
     id_type = docs.schema[id_col].dataType.simpleString()
 
-    names = ["id", "node", "size", "keys", *_SIGN_COLUMNS]
-    held = docs.sparkSession.sparkContext.broadcast(_common_shingles(docs, id_col, text_col, threshold))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketcher, seen = Sketcher(), {}
         for batch in batches:
             made = []
             for node, words in zip(batch.column(1).to_pylist(), batch.column(2)):
                 if (known := seen.get(node)) is None:
-                    h = shingles(words.as_py())
-                    if len(h):
-                        keys = [prefix_keys(h, held.value, threshold)] if len(h) <= SHORT / threshold + 1e-9 else []
-                        if len(h) > SHORT:
-                            keys.append(sketcher.bands_of(sketcher.entries(h)))
-                        known = (len(h), np.concatenate(keys).view(np.int64), *parities(h))
-                    else:
-                        known = (0, None, *[0] * SIGNS)
-                    if len(seen) > 20_000:
+                    h = labelled(shingles(words.as_py()))
+                    bands = sketcher.bands_of(sketcher.entries(h)).view(np.int64) if len(h) > SHORT else None
+                    known = (len(h), bands, h.view(np.int64) if 0 < len(h) <= SHORT / threshold + 1e-9 else None)
+                    if len(seen) >= 10_000:
                         seen.clear()
                     seen[node] = known
                 made.append(known)
-            columns = list(zip(*made)) if made else [[]] * (2 + SIGNS)
-            kinds = [pa.int32(), pa.list_(pa.int64()), *[pa.int64()] * SIGNS]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], names)
+            columns = list(zip(*made)) if made else [[]] * 3
+            kinds = [pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["id", "node", "size", "bands", "short"])
+        _WORDS.clear()
 
-    return rows.mapInArrow(run, f"id {id_type}, node binary, size int, keys array<bigint>, " + ", ".join(f"{c} bigint" for c in _SIGN_COLUMNS))
+    return rows.mapInArrow(run, f"id {id_type}, node binary, size int, bands array<bigint>, short array<bigint>")
+
+
+def _short_prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
+    """``key, node, size`` for each shingle in the prefix of each short text."""
+    short = nodes.where("short is not null").select("node", "size", "short")
+    slots = short.select(F.explode("short").alias("h")).select((F.col("h").bitwiseAND(F.lit(SLOTS - 1))).alias("slot"), F.lit(1).cast("long").alias("n"))
+    held = nodes.sparkSession.sparkContext.broadcast(_slot_counts(slots))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = []
+            for h in batch.column(2):
+                h = np.array(h.as_py(), dtype=np.int64).view(np.uint64)
+                keys.append(rarest_first(h, held.value)[: prefix_length(len(h), threshold)].view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
+
+    return short.mapInArrow(run, "node binary, size int, keys array<bigint>").select(F.explode("keys").alias("key"), "node", "size")
 
 
 def _sizes_fit(threshold: float) -> Column:
     return F.least("size", "size_b") >= threshold * F.greatest("size", "size_b")
 
 
-def _parities_fit(threshold: float) -> Column:
-    """False only where the shingles of both sides differ in more places than the threshold allows."""
-    differ = F.lit(0)
-    for c in _SIGN_COLUMNS:
-        differ = differ + F.bit_count(F.col(c).bitwiseXOR(F.col(f"{c}_b")))
-    return differ <= (F.col("size") + F.col("size_b")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+def _prefix_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, la, lb``: pairs of the nodes in ``rest`` that can reach the threshold, with their different labels.
+
+    Every such pair meets at its first shared shingle, within both prefixes; then the bitmaps of
+    both leave out what differs in too many shingles for certain.
+    """
+
+    left = materialise(rest.select("node", "label", "size").distinct().join(texts, "node").select("node", "label", "size", "words"), "omh-left")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            for words in batch.column(0):
+                slot, n = np.unique((labelled(shingles(words.as_py())) % np.uint64(SLOTS)).astype(np.int64), return_counts=True)
+                counts[slot] += n
+        _WORDS.clear()
+        slot = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(counts[slot])], ["slot", "n"])
+
+    held = texts.sparkSession.sparkContext.broadcast(_slot_counts(left.select("words").mapInArrow(count, "slot bigint, n bigint")))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, lengths, own = [], [], []
+            for words in batch.column(3):
+                h = rarest_first(labelled(shingles(words.as_py())), held.value)
+                n = prefix_length(len(h), threshold)
+                keys.append(h[:n].view(np.int64))
+                lengths.append(n)
+                own.append(np.arange(n) < prefix_length(len(h), 2 * threshold / (1 + threshold)))
+            if not keys:
+                continue
+            keys, lengths = np.concatenate(keys), np.array(lengths)
+            pos = np.arange(len(keys)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            many = np.minimum(pos, BEFORE)
+            ends = np.cumsum(many)
+            before = keys[np.arange(many.sum()) + np.repeat(np.arange(len(keys)) - ends, many)]
+            before = pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(before))
+            at = pa.array(np.repeat(np.arange(len(lengths)), lengths))
+            same = [batch.column(c).take(at) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *same, pa.array(pos, pa.int32()), pa.array(np.concatenate(own)), before], ["key", "node", "label", "size", "pos", "own", "before"])
+        _WORDS.clear()
+
+    every = materialise(left.mapInArrow(prefixes, "key bigint, node binary, label binary, size int, pos int, own boolean, before array<bigint>"), "omh-prefixes")
+    tag = F.xxhash64("label")
+    mixed = every.groupBy("key").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi"), F.max("own").alias("own")).where("lo <> hi and own").select("key")
+    mixed = materialise(mixed, "omh-mixed")
+    met = may_contain(every, F.xxhash64("key"), bit_filter(mixed.select(F.xxhash64("key").alias("h"))))
+    met = materialise(met.join(mixed, "key"), "omh-met")
+    small = met.where("own").select("key", *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "size", "pos", "before")])
+    ordered = (F.col("size_b") < F.col("size")) | ((F.col("size_b") == F.col("size")) & (F.col("node_b") < F.col("node")))
+    rest_fits = F.least(F.col("size") - F.col("pos"), F.col("size_b") - F.col("pos_b")) >= (F.col("size") + F.col("size_b")) * (threshold / (1 + threshold)) - 1e-6
+    first = ~F.arrays_overlap("before", "before_b")  # else the pair is made there
+    pairs = met.join(small, "key").where(ordered & (F.col("label") != F.col("label_b")) & _sizes_fit(threshold) & rest_fits & first)
+    pairs = pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b"), F.col("label").alias("la"), F.col("label_b").alias("lb"), (F.col("size") + F.col("size_b")).alias("both")).distinct()
+
+    names = [f"g{k}" for k in range(SIGNS)]
+
+    def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.array([parities(labelled(shingles(words.as_py()))) for words in batch.column(3)], dtype=np.int64).reshape(-1, SIGNS)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(bits[:, k]) for k in range(SIGNS))], ["node", *names])
+        _WORDS.clear()
+
+    signed = materialise(left.mapInArrow(signs, "node binary, " + ", ".join(f"{g} bigint" for g in names)), "omh-signs")
+    for side in "ab":
+        pairs = pairs.join(signed.select(F.col("node").alias(side), *[F.col(g).alias(f"{side}{g}") for g in names]), side)
+    differ = reduce(lambda x, g: x + F.bit_count(F.col(f"a{g}").bitwiseXOR(F.col(f"b{g}"))), names, F.lit(0))
+    fits = differ <= F.col("both") * ((1 - threshold) / (1 + threshold)) + 1e-6
+    return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("la", "lb").alias("la"), F.greatest("la", "lb").alias("lb"))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -272,6 +345,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
                 keep.append(alignment_similarity(known, shingles(wb), threshold) >= threshold)
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
+        _WORDS.clear()
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b")
     return joined.mapInArrow(run, "a binary, b binary")
@@ -287,16 +361,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     table gives no rows; further columns are ignored.
     """
     rows = materialise(_sketch(docs, id_col, text_col, threshold), "omh-rows")
-    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("size", "keys", *_SIGN_COLUMNS)])
+    nodes = rows.groupBy("node").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), *[F.max(c).alias(c) for c in ("size", "bands", "short")])
     nodes = materialise(nodes, "omh-nodes")
 
-    buckets = nodes.where("size > 0").select(F.explode("keys").alias("key"), "node", "size")
+    buckets = nodes.where("size > 0").select(F.explode("bands").alias("key"), "node", "size").unionByName(_short_prefixes(nodes, threshold))
     # what is joined to a bucket's members is a table, so that a hot bucket can be split in the join
     shared = materialise(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "omh-shared")
-    members = materialise(buckets.join(shared, "key"), "omh-buckets")
+    members = materialise(may_contain(buckets, F.xxhash64("key"), bit_filter(shared.select(F.xxhash64("key").alias("h")))).join(shared, "key"), "omh-buckets")
 
-    wanted = members.select("node").distinct().join(nodes.select("node", F.col("id").alias("own")), "node")
-    source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
+    wanted = materialise(members.select("node").distinct().join(nodes.select("node", F.col("id").alias("own")), "node"), "omh-wanted")
+    # only documents that the filter lets by are shuffled to be joined
+    source = may_contain(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), F.xxhash64("id"), bit_filter(wanted.select(F.xxhash64("own").alias("h"))))
     # joined by id alone and written, so that only wanted texts are taken apart; by a merge at every size
     wanted = wanted.withColumnRenamed("node", "want").hint("merge")
     found = materialise(source.join(wanted, source["id"].eqNullSafe(wanted["own"])).select("want", "text"), "omh-found").withColumn("words", words_of(F.col("text")))
@@ -321,15 +396,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         labels = components(links)
         rest = _unsettled(members, labels)
     if links is not None and not rest.isEmpty():
-        rest = materialise(rest.join(nodes.select("node", "keys", *_SIGN_COLUMNS), "node"), "omh-signed")
-        other = rest.select("key", F.col("node").alias("b"), *[F.col(c).alias(f"{c}_b") for c in ("label", "size", "keys", *_SIGN_COLUMNS)])
-        # a pair is made in one bucket only: each bucket that it shares is here, as the labels differ
-        once = F.col("key") == F.array_min(F.array_intersect("keys", "keys_b"))
-        pairs = rest.join(other, "key").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("label_b")) & _sizes_fit(threshold) & _parities_fit(threshold) & once)
-        pairs = pairs.select(F.col("node").alias("a"), "b").distinct().join(tested, ["a", "b"], "left_anti")
-        found = materialise(_verified(pairs, texts, threshold), "omh-links")
+        pairs = materialise(_prefix_pairs(rest, texts, threshold).join(tested, ["a", "b"], "left_anti"), "omh-pairs")
+        # first one pair for each two components, then all others of those that are still apart
+        few = materialise(pairs.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "omh-few")
+        found = materialise(_verified(few, texts, threshold), "omh-links")
+        apart = pairs.join(few, ["a", "b"], "left_anti")
         if not found.isEmpty():
             joined = _joined_components(found, labels)
+            now = lambda c: joined.select(F.col("label").alias(c), F.col("to_label").alias(f"{c}_now"))
+            apart = apart.join(now("la"), "la", "left").join(now("lb"), "lb", "left").where(F.coalesce("la_now", "la") != F.coalesce("lb_now", "lb"))
+        more = materialise(_verified(apart.select("a", "b"), texts, threshold), "omh-links")
+        if not more.isEmpty():
+            joined = _joined_components(found.unionByName(more), labels)
 
     spread = nodes.select("node", "id", "n")
     spread = spread.join(labels, "node", "left") if labels is not None else spread.withColumn("label", F.lit(None).cast("binary"))
@@ -367,7 +445,11 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows are joined by id; only where an id is to go is the text looked at again.
     """
     gone = near_duplicates(docs, id_col, text_col, threshold).where("not kept").groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set(F.unhex("node")).alias("gone_nodes"))
+    gone = materialise(gone, "omh-gone")
+    known = bit_filter(gone.select(F.xxhash64("gone_id").alias("h")))
     keyed = docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
-    both = keyed.join(gone, keyed["id"].eqNullSafe(gone["gone_id"]), "left")
+    perhaps = may_contain(keyed, F.xxhash64("id"), known)
+    both = perhaps.join(gone, perhaps["id"].eqNullSafe(gone["gone_id"]), "left")
     stays = F.when(F.col("gone_nodes").isNull(), True).otherwise(~F.array_contains("gone_nodes", text_key(F.col("text"), words_of(F.col("text")))))
-    return both.where(stays).select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
+    out = both.where(stays).select("row").unionByName(surely_absent(keyed, F.xxhash64("id"), known).select("row"))
+    return out.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
