@@ -20,6 +20,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.char_classes import as_known
+
 
 def read_ranks(path: str) -> bytes:
     """The rank file's bytes (under a few MB), for shipping to executors."""
@@ -50,7 +52,7 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 class _Packed(dict):
     """Pieces to their ids as little-endian unsigned 32-bit integers; bounded, filled on demand."""
 
-    def __init__(self, encode, limit: int = 700_000, longest: int = 64):
+    def __init__(self, encode, limit: int = 150_000, longest: int = 64):
         super().__init__()
         self.encode, self.limit, self.longest = encode, limit, longest
 
@@ -77,14 +79,14 @@ class ByteBPE:
         self.matcher.make_automaton()
         self.shorter = {rank: next((ranks[t] for n in range(len(token) - 1, 0, -1) if (t := token[:n]) in ranks), None) for token, rank in ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
-        self.pieces = regex.compile(pattern).findall
+        self.split = regex.compile(pattern)
         self.packed = _Packed(self.encode_piece)
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether the merges leave exactly these two tokens of their joint bytes."""
         known = self.fits.get((left, right))
         if known is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) >= 300_000:
                 self.fits.clear()
             known = self.fits[left, right] = merge_by_rank(self.tokens[left] + self.tokens[right], self.ranks) == [left, right]
         return known
@@ -114,6 +116,16 @@ class ByteBPE:
                 at -= size[token]
         return ids
 
+    def pieces(self, text: str) -> list[str]:
+        """The matches of the split pattern; characters that the library doesn't know are neither letters nor numbers."""
+        known = as_known(text)
+        return self.split.findall(text) if known is text else [text[m.start() : m.end()] for m in self.split.finditer(known)]
+
+    def forget(self) -> None:
+        """Empty the remembered results, as a worker does when its task ends."""
+        self.packed.clear()
+        self.fits.clear()
+
     def encode(self, text: str) -> bytes:
         """Ids of a whole text, packed as little-endian unsigned 32-bit integers."""
         return b"".join(map(self.packed.__getitem__, self.pieces(text)))
@@ -167,6 +179,7 @@ def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc
                 columns += [pa.array(packs, pa.binary()), pa.array(good, pa.bool_())]
                 names += ["ids", "decoded_ok"]
             yield pa.RecordBatch.from_arrays(columns, names)
+        bpe.forget()
 
     pair = docs.select(docs[id_col], F.col(text_col).cast("string"))
     return pair.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

@@ -9,8 +9,9 @@ when first reached and the table is bounded; emptying it changes no result.
 
 A text is cut into blocks anywhere. A block's state map takes the state in front of it to the
 state behind it and a count: at a non-space followed by white space every piece ends, so past
-its first such point the map is constant. Maps compose associatively, and the blocks of a text
-are combined by a parallel prefix scan over pairs.
+its first such point the map is constant. Maps compose associatively, so the blocks of a text
+combine in a prefix scan (``scan``). A count needs its last prefix only: the query takes the
+scan's up-sweep (``fold``), pairs by pairs, within the task that has the text.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ from __future__ import annotations
 import gc
 import json
 import re
-import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.char_classes import char_class
+
 #: Unicode White_Space, which the split pattern's \s means (fixed values).
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
-_SPACE = re.compile(f"[{WHITE}]").match
 #: Endings that the split pattern takes after an apostrophe (fixed values).
 SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = {"r": "e", "v": "e", "l": "l"}
@@ -43,14 +44,6 @@ def printable_bytes() -> dict[str, int]:
     return {chr(b): b for b in direct} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-def char_class(c: str) -> str:
-    """L letter, N number, S white space, O other."""
-    if _SPACE(c):
-        return "S"
-    kind = unicodedata.category(c)[0]
-    return kind if kind in "LN" else "O"
-
-
 class State(dict):
     """Characters to (next state, emitted tokens), filled when first asked for."""
 
@@ -84,7 +77,7 @@ class StateMap(NamedTuple):
 class Transducer:
     """A byte-level BPE vocabulary compiled, as far as needed, to a deterministic transducer."""
 
-    def __init__(self, spec: bytes, max_transitions: int = 1_500_000, max_words: int = 600_000):
+    def __init__(self, spec: bytes, max_transitions: int = 400_000, max_words: int = 200_000, max_fits: int = 200_000):
         model = json.loads(spec)
         if model["model"]["type"] != "BPE" or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model.get("normalizer"):
             raise ValueError("only byte-level BPE without normaliser is compiled")
@@ -106,7 +99,7 @@ class Transducer:
                     self.token_at.append(-1)
                 node = self.children[node][b]
             self.token_at[node] = i
-        self.max_transitions, self.max_words = max_transitions, max_words
+        self.max_transitions, self.max_words, self.max_fits = max_transitions, max_words, max_fits
         self.fits: dict[tuple[int, int], bool] = {}
         self.words: dict[str, int] = {}
         self.empty = ((0, -1, 0),)
@@ -129,6 +122,8 @@ class Transducer:
         """Whether the merges leave these two tokens (or, with left -1, the one) as they are."""
         known = self.fits.get((left, right))
         if known is None:
+            if len(self.fits) >= self.max_fits:
+                self.fits.clear()
             own = [right] if left < 0 else [left, right]
             known = self.fits[left, right] = self.merged(b"".join(self.tokens[i] for i in own)) == own
         return known
@@ -325,8 +320,10 @@ def count_tokens(docs: DataFrame, spec: bytes, limit: int = 512, id_col: str = "
         machine = transducer(held.value)
         for batch in batches:
             gc.disable()  # states are many, linked and long-lived; looking through them finds nothing
-            counts = pa.array([machine.count(text.as_py() or "") for text in batch.column(1)], pa.int64())
-            gc.enable()
+            try:
+                counts = pa.array([machine.count(text.as_py() or "") for text in batch.column(1)], pa.int64())
+            finally:
+                gc.enable()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), counts], [id_col, "n_bytes", "n_tokens"])
 
     body = F.col(text_col).cast("string")
