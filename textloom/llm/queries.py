@@ -20,7 +20,8 @@ from textloom.llm.warc_index import archive_and_read
 
 #: Ratings of the labels table as grades: 0 poor, 1 usable but toxic, 2 good.
 GRADE, GRADES = "case when quality = 0 then 0 when toxic = 1 then 1 else 2 end", 3
-SECRET = "rotate-me"
+#: Session setting that holds the key of the surrogates, and the key without it (tests).
+SECRET_SETTING, SECRET = "spark.textloom.pii.secret", "rotate-me"
 URL_RULES = [Rule("com/en/", "block"), Rule("example.com/en/7", "allow"), Rule("net/de/", "allow"), Rule("example.net/de/8", "block"), Rule("org/es/", "block")]
 
 
@@ -34,7 +35,7 @@ def quality_model(spark: SparkSession, sf_dir: str):
 
 
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return replace_pii(_table(spark, sf_dir, "documents"), SECRET)
+    return replace_pii(_table(spark, sf_dir, "documents"), spark.conf.get(SECRET_SETTING, SECRET))
 
 
 def op2_quality_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
