@@ -8,7 +8,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from textloom.llm import byte_bpe, exact_dedup, order_minhash, ordinal_quality, pii_surrogates, template_decontam, token_transducer, toxicity_chain, url_trees, warc_index
+from textloom.llm import byte_bpe, char_classes, exact_dedup, order_minhash, ordinal_quality, pii_surrogates, template_decontam, token_transducer, toxicity_chain, url_trees, warc_index
 from textloom.llm.components import components
 from textloom.llm.hashed_linear import Rows
 
@@ -62,10 +62,21 @@ def test_exact_repeats_nulls_and_columns(spark, empty):
 
 def test_index_levels(spark):
     index = exact_dedup.DigestIndex(spark, fanout=2)
+    assert index.compact().isEmpty() and index.rows().isEmpty() and index.probe([b"a"]).isEmpty()
     rows = spark.createDataFrame([(bytearray(b"a"), 3), (bytearray(b"b"), 1)], "digest binary, id long")
     index.flush(rows)
     index.flush(rows.withColumn("id", F.col("id") - 1))
-    assert index.fresh == [] and {(bytes(r["digest"]), r["keep_id"], r["n"]) for r in index.probe([b"a", b"b"]).collect()} == {(b"a", 2, 2), (b"b", 0, 2)}
+    held = index.merged
+    found = lambda: {(bytes(r["digest"]), r["keep_id"], r["n"]) for r in index.probe([b"a", b"b"]).collect()}
+    assert index.fresh == [] and index.rows().isEmpty() and found() == {(b"a", 2, 2), (b"b", 0, 2)} and index.merged == held
+    index.flush(rows.withColumn("id", F.col("id") + 7))
+    assert index.rows().count() == 2 and found() == {(b"a", 2, 3), (b"b", 0, 3)}
+
+
+def test_exact_groups_over_levels(spark):
+    texts = ["a", "b  c", "b c", "a", None, "", "d", "a", "e"] * 3 + ["single"]
+    one, many = (sorted(map(tuple, exact_dedup.exact_groups(docs_of(spark, texts), batches=n, fanout=2).collect())) for n in (1, 5))
+    assert one == many and len(one) == len(texts)
 
 
 # --- byte-level BPE and token counts ----------------------------------------------------------------
@@ -121,6 +132,20 @@ def test_token_counts_are_those_of_the_library(spark, empty):
             assert n == lead + state.final + (maps[-1].count + maps[-1].after.final if maps[-1].closed else 0)
 
 
+def test_all_code_points_are_split_as_by_the_libraries():
+    """Each code point beside a letter, a number, a mark and an apostrophe's ending."""
+    path = P.path("byte_bpe_50k.json")
+    ranks = byte_bpe.parse_ranks(byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
+    tik = tiktoken.Encoding("x", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    tok, machine, bpe = Tokenizer.from_file(path), token_transducer.Transducer(byte_bpe.read_ranks(path)), byte_bpe.ByteBPE(ranks, P.PATTERN)
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x1F000 or c % 64 == 0)]
+    points += [c for edges in (*char_classes.LATER_LETTERS, *char_classes.LATER_NUMBERS) for c in range(edges[0] - 1, min(edges[1], edges[0] + 40) + 2)]
+    texts = [f"a{chr(c)}'s {chr(c)}1{chr(c)}!{chr(c)}" for c in points]
+    own = [len(e.ids) for e in tok.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, n in zip(texts, own) if machine.count(t) != n] == []
+    assert [t for t in texts if memoryview(bpe.encode(t)).cast("I").tolist() != tik.encode_ordinary(t)] == []
+
+
 # --- near duplicates -------------------------------------------------------------------------------
 
 
@@ -188,9 +213,9 @@ def test_components(spark):
 
 
 def test_templates():
-    tokens, values = template_decontam.template("Yesterday Maria bought 12 kg of apples. Then Tom paid 3,50 euros.")
+    tokens, values, maybe = template_decontam.template("Yesterday Maria bought 12 kg of apples. Then Tom paid 3,50 euros.")
     assert tokens == ["yesterday", "\x01name", "bought", "\x01number", "\x01unit", "of", "apples", "then", "\x01name", "paid", "\x01number", "\x01unit"]
-    assert values[1] == "maria" and values[3] == "12"
+    assert values[1] == "maria" and values[3] == "12" and [v for v, m in zip(values, maybe) if m] == ["yesterday", "then"]
 
 
 def test_contamination(spark, empty):
@@ -207,6 +232,44 @@ def test_contamination(spark, empty):
     assert template_decontam.decontaminated(docs_of(spark, texts), bench).count() == 5
 
 
+def test_names_that_begin_sentences(spark):
+    item = "Tom has 12 apples and gives 5 of them away. Tom buys 8 kg more at the market. Tom then eats 2 of the apples. How many apples does Tom have left?"
+    other = item.replace("Tom", "Sara").replace("12", "31").replace("5", "7").replace("8", "9")
+    mixed = other.replace("Sara buys", "Igor buys").replace("Sara then", "Olga then")
+    texts = [item, other, item.lower(), mixed, item.replace("Tom then", "Sara then"), "Sara walks home. " + other + " " + "Who knows? " * 50_000, other, None]
+    bench = spark.createDataFrame([(1, item), (1, item)], "item_id long, text string")
+    hits = template_decontam.contaminated(docs_of(spark, texts), bench).collect()
+    assert sorted({(r["doc_id"], r["verbatim"]) for r in hits}) == [(0, True), (1, False), (2, True), (5, False), (6, False)] and len(hits) == 10
+    again = docs_of(spark, texts).unionByName(spark.createDataFrame([(0, "clean", "d", "digest", 1)], "doc_id long, text string, keep_id string, node string, kept int"))
+    kept = template_decontam.decontaminated(again, bench)
+    assert kept.columns == again.columns and sorted(r["doc_id"] for r in kept.collect()) == [0, 3, 4, 7]
+
+
+def test_windows_by_brute_force():
+    rng = random.Random(17)
+    vocabulary = "the red box of Tom Anna and 3 7 kg How why buys Then sells . ? .".split()
+    text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
+    items = [(k, text(rng.randint(3, 14))) for k in range(60)]
+    block = template_decontam.Block(items, 4, 0.5)
+    named = lambda token, maybe: maybe or token == template_decontam.NAME
+    for _ in range(30):
+        tokens, values, maybe = template_decontam.template(text(40))
+        expected = {}
+        for k, (_, own, own_values, _, own_maybe) in enumerate(block.items):
+            size = min(4, len(own))
+            literal = [sum(t[0] != "\x01" for t in own[i : i + size]) for i in range(len(own) - size + 1)]
+            for at in range(len(own) - size + 1):
+                for i in range(len(tokens) - size + 1):
+                    pairs = [(own[at + d], own_maybe[at + d], tokens[i + d], maybe[i + d]) for d in range(size)]
+                    as_names = [a != b for a, _, b, _ in pairs]
+                    fits = all(a == b or named(a, m) and named(b, n) for a, m, b, n in pairs)
+                    enough = literal[at] - sum(bool(x) and a[0] != "\x01" for x, (a, *_) in zip(as_names, pairs)) >= 2 if size == 4 else None
+                    if size == 4 and fits and enough or max(literal) < 0.5 * size and own_values[at : at + size] == values[i : i + size]:
+                        expected.setdefault((k, i - at), set()).add(at)
+        got = {key: v for key, v in block.found(tokens, values, maybe).items() if len(block.items[key[0]][1]) >= 4 or key in expected}
+        assert got == expected
+
+
 # --- classifiers --------------------------------------------------------------------------------------
 
 
@@ -332,10 +395,43 @@ def test_surrogates_stay_distinct(spark):
 
 
 def test_surrogate_exceptions_by_join(spark):
-    texts = spark.createDataFrame([(1, "a x@y.com b x@y.com c z@y.com"), (2, "none")], "id long, body string")
-    redrawn = spark.createDataFrame([("x@y.com", "new@q.com")], "e string, s string")
-    rows = {r["doc_id"]: r["text"] for r in pii_surrogates._replaced_by_join(texts, redrawn, "k", "doc_id").collect()}
-    assert rows[1].count("new@q.com") == 2 and "z@y" not in rows[1] and rows[2] == "none"
+    texts = spark.createDataFrame([(1, "a x@y.com b x@y.com c z@y.com", "k"), (2, "none", "k"), (3, "Dr. Emily Carter and Carter", "k"), (3, "Dr. Emily Carter and Carter", "k")], "id long, body string, key string")
+    redrawn = spark.createDataFrame([("x@y.com", "new@q.com"), ("Carter", "Xylo")], "e string, s string")
+    found = pii_surrogates._replaced_by_join(texts, redrawn, "k", "doc_id").collect()
+    rows = {r["doc_id"]: r["text"] for r in found}
+    assert len(found) == 4 and rows[1].count("new@q.com") == 2 and "z@y" not in rows[1] and rows[2] == "none"
+    assert re.fullmatch(r"Dr\. [A-Z][a-z]+ Xylo and Xylo", rows[3]) and "Emily" not in rows[3]
+
+
+def test_names_keep_their_form(spark):
+    texts = [
+        "Emily Carter wrote. Emily's friend James O'Brien met Carter, EMILY CARTER and Marie-Claire McDonald. CARTER left; Emilyx, xEmily stay.",
+        "Mr. Jean-Luc saw Emily in Carter city.", "Emily went home.", "Dr. Li and Dr. Xu and Mr Al " * 20_000, "Dr. Li", "Dr. Xu",
+    ]
+    rows = {r["doc_id"]: r["text"] for r in pii_surrogates.replace_pii(docs_of(spark, texts), "k").collect()}
+    first, last = re.match(r"(\w+) (\w+) wrote", rows[0]).groups()
+    assert first in pii_surrogates.FIRST_NAMES["latin", "female"] and first != "Emily" and f"{first}'s friend" in rows[0]
+    assert f" met {last}, {first.upper()} {last.upper()} and" in rows[0] and f"{last.upper()} left; Emilyx, xEmily stay." in rows[0]
+    assert re.search(r"friend [A-Z][a-z]+ [A-Z]'[A-Z][a-z]{4} met", rows[0]) and re.search(r"and [A-Z][a-z]+-[A-Z][a-z]+ [A-Z][a-z][A-Z][a-z]{5}\.", rows[0])
+    assert not re.search("Carter|CARTER|Brien|McDon|Marie|James", rows[0])
+    assert re.fullmatch(r"Mr\. [A-Z][a-z]{3}-[A-Z][a-z]{2} saw Emily in Carter city\.", rows[1]) and rows[2] == texts[2]
+    vowels = [c in "aeiou" for c in last.lower()]
+    assert vowels == [c in "aeiou" for c in "carter"]
+    assert len(rows[3]) >= len(texts[3]) and rows[4] != rows[5] and rows[3].startswith(rows[4] + " and " + rows[5] + " and ")
+
+
+def test_names_with_few_surrogates_stay_distinct(spark):
+    """Every name of a format is taken: the later draws are longer."""
+    names = [f"{a}{b}" for a in "BCDFGHJKLMNPQRSTVWXYZ" for b in "aeiou"]
+    texts = [f"Mr. {n}" for n in names]
+    rows = {r["doc_id"]: r["text"] for r in pii_surrogates.replace_pii(docs_of(spark, texts), "k").collect()}
+    assert len(set(rows.values())) == len(names) and not set(rows.values()) & set(texts)
+
+
+def test_the_key_is_in_no_plan(spark):
+    texts = ["192.0.2.1", "Dr. Carter"]
+    plan = pii_surrogates.replace_pii(docs_of(spark, texts), "hidden-key")._jdf.queryExecution().toString()
+    assert "hidden-key" not in plan
 
 
 def test_sparse_rows():
@@ -363,8 +459,11 @@ def test_short_near_duplicates_are_all_found(spark):
     assert got == {k: k - k % 2 for k in range(len(texts))}
 
 
-def test_parities_leave_out_no_link():
+def test_prefixes_leave_out_no_link():
+    import numpy as np
+
     rng = random.Random(6)
+    counts = np.zeros(order_minhash.SLOTS, dtype=np.int64)
     for n in [*range(5, 40), 100, 400]:
         a = [f"w{rng.randrange(30 if n % 2 else 10**6)}" for _ in range(n)]
         for _ in range(20):
@@ -372,12 +471,55 @@ def test_parities_leave_out_no_link():
             for _ in range(rng.randrange(1, 4)):
                 k = rng.randrange(len(b))
                 b[k : k + rng.randrange(2)] = [f"x{rng.randrange(10**6)}"] * rng.randrange(2)
-            x, y = (order_minhash.shingles(" ".join(t)) for t in (a, b))
+            x, y = sorted((order_minhash.shingles(" ".join(t)) for t in (a, b)), key=len)
+            counts[rng.randrange(len(counts))] += 3
             if order_minhash.alignment_similarity(x, y) >= 0.8:
-                differ = sum(((p ^ q) & (2**64 - 1)).bit_count() for p, q in zip(order_minhash.parities(x), order_minhash.parities(y)))
-                assert differ <= (len(x) + len(y)) / 9 + 1e-6
-                common = order_minhash.labelled(x)[:3]
-                assert set(order_minhash.prefix_keys(x, common, 0.8)) & set(order_minhash.prefix_keys(y, common, 0.8))
+                x, y = (order_minhash.rarest_first(order_minhash.labelled(h), counts) for h in (x, y))
+                small, large = x[: order_minhash.prefix_length(len(x), 1.6 / 1.8)].tolist(), y[: order_minhash.prefix_length(len(y), 0.8)].tolist()
+                first = next(k for k, h in enumerate(small) if h in large)
+                assert min(len(x) - first, len(y) - large.index(small[first])) >= 0.8 / 1.8 * (len(x) + len(y)) - 1e-6
+
+
+def test_family_around_the_threshold(spark):
+    """One base, a few hundred edited copies, many of their pairs just over and under 0.8; the base is not there."""
+    rng = random.Random(16)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(90)]
+    texts = []
+    for _ in range(150):
+        copy = list(base)
+        for _ in range(rng.choice((0, 1, 2, 3, 6))):
+            copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(copy[rng.randrange(3) :]))
+    sh = [order_minhash.shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if order_minhash.alignment_similarity(sh[i], sh[j]) >= 0.8:
+                links += 1
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    assert 100 < links < len(texts) ** 2 / 3
+    got = {r["doc_id"]: r["class_id"] for r in order_minhash.near_duplicates(docs_of(spark, texts)).collect()}
+    assert got == {k: root(k) for k in range(len(texts))}
+
+
+def test_bit_filter(spark):
+    from textloom.llm.bit_filter import bit_filter, may_contain, surely_absent
+
+    rows = spark.range(20_000).withColumnRenamed("id", "k").repartition(3)
+    known = bit_filter(rows.where("k % 10 = 0").select(F.xxhash64("k").alias("h")))
+    assert known.count() == 512
+    passed, absent = may_contain(rows, F.xxhash64("k"), known), surely_absent(rows, F.xxhash64("k"), known)
+    assert passed.columns == ["k"] and passed.where("k % 10 = 0").count() == 2_000 and passed.count() < 2_050
+    assert passed.count() + absent.count() == 20_000
+    assert may_contain(rows, F.xxhash64("k"), bit_filter(rows.limit(0).select(F.xxhash64("k").alias("h")))).isEmpty()
 
 
 def test_every_occurrence_of_an_item_is_judged():

@@ -47,7 +47,7 @@ class _ShapeIndex(dict):
     """Shapes, runs shortened to two, to hashed indices; bounded."""
 
     def __missing__(self, shape: str) -> int:
-        if len(self) >= 100_000:
+        if len(self) >= 20_000:
             self.clear()
         short = re.sub(r"(.)\1+", r"\1\1", shape, flags=re.S)[:12]
         self[shape] = found = zlib.crc32(b"s" + short.encode("utf-8", "surrogatepass")) % SIZE
@@ -63,13 +63,21 @@ class _Tokens(dict):
     def __missing__(self, token: str) -> tuple[int, int]:
         word = token.lower().translate(_WORD_OF)
         found = (zlib.crc32(b"w" + word.encode("utf-8", "surrogatepass")) % SIZE, _SHAPE_INDEX[token.translate(_SHAPE_OF)])
-        if len(self) >= 300_000:
+        if len(self) >= 100_000:
             self.clear()
         self[token] = found
         return found
 
 
 _SHAPES = _Tokens()
+
+
+def _forget() -> None:
+    """Empty what a worker remembers, when its task ends."""
+    _SHAPES.clear()
+    _SHAPE_INDEX.clear()
+
+
 _EXTRA = {name: zlib.crc32(b"x" + name.encode()) % SIZE for name in ("bias-length", "again", "distinct", "empty")}
 
 
@@ -170,6 +178,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
                 scores.append(float(value @ w[index]))
             tails = held.value.tails(np.array(scores, dtype=float))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, keep_grade - 1])], [id_col, "expected_grade", "tail"])
+        _forget()
 
     scored = docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, expected_grade double, tail double")
     return scored.withColumn("kept", F.col("tail") >= keep_tail)
@@ -189,5 +198,6 @@ def selected(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_
                 scores.append(float(value @ w[index]))
             keep = held.value.tails(np.array(scores, dtype=float))[:, keep_grade - 1] >= keep_tail
             yield batch.filter(pa.array(keep, pa.bool_()))
+        _forget()
 
     return docs.mapInArrow(run, docs.schema)

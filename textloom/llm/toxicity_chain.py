@@ -36,7 +36,7 @@ class _Index(dict):
     """Words to the hashed indices of the word and its first letters; bounded."""
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 400_000:
+        if len(self) >= 100_000:
             self.clear()
         names = [word, *(f"{word[:n]}*" for n in PREFIXES if len(word) > n)]
         self[word] = found = tuple(zlib.crc32(x.encode("utf-8", "surrogatepass")) % SIZE for x in names)
@@ -166,6 +166,7 @@ def score_toxicity(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_c
             made = [features(t.as_py() or "") for t in batch.column(1)]
             p = full.predict(Rows([(i, np.ones(len(i))) for i in made], SIZE))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c]) for c in range(len(bias)))], [id_col, *names])
+        _INDEX.clear()
 
     scored = docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"{n} double" for n in names))
     return scored.withColumn("toxic", F.col(names[-1]) >= threshold)
