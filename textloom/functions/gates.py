@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from textloom.functions.text import WHITE, ascii_fold, clean_chars, sentences, strip_foreign_scripts
 from textloom.functions.tokens import STOP_EN, STOP_TR
 
+#: Patterns of personal data and markup in chat lines (fixed values).
 HARD_PII = r"(?i)[\w.+\-]+@[\w\-]+\.[\w.]+|https?://\S+|www\.\S+|\b0\d{3}\s?\d{3}\s?\d{2}\s?\d{2}\b|\b0\d{2}\s?\d{3}\s?\d{2}\s?\d{2}\b|\+\d[\d\s\-]{8,}"
 SOFT_PII = r"(?i)u/[\w\-]+|r/[\w\-]+"
 MARKUP = r"[*_`#>\[\]~]"
@@ -51,10 +52,15 @@ def line_gate(c: Column) -> Column:
     return F.struct(F.when(reason.isNull(), t).alias("line"), reason.alias("reason"))
 
 
+_WORD = "a-zçğıöşü"
+
+
 def stop_share(c: Column, words: list[str]) -> Column:
-    found = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-zçğıöşü]+)"), 1)
-    stop = F.array(*[F.lit(w) for w in words])
-    return F.when(F.size(found) > 0, F.size(F.filter(found, lambda w: F.array_contains(stop, w))) / F.size(found)).otherwise(F.lit(0.0))
+    """Share of a list's words among all words; both are counted by patterns, no array is made."""
+    t = F.lower(F.coalesce(c, F.lit("")))
+    n = F.regexp_count(t, F.lit(f"[{_WORD}]+"))
+    hit = F.regexp_count(t, F.lit(f"(?<![{_WORD}])(?:{'|'.join(dict.fromkeys(words))})(?![{_WORD}])"))
+    return F.when(n > 0, hit / n).otherwise(F.lit(0.0))
 
 
 def language_score(c: Column, own: list[str] = STOP_TR, other: list[str] = STOP_EN) -> Column:
@@ -102,16 +108,13 @@ def generated_gate(gen: Column, tokens: Column, canned: Column, keywords: Column
     ``tokens`` are the answer's, ``canned`` those of stored answers, ``keywords`` the topic's,
     ``query`` the question's content words (or null).
     """
-    letters = _letters(F.lower(gen))
     own = F.array_distinct(tokens)
     known = F.array_union(canned, keywords)
     shared = F.size(F.array_intersect(own, known))
-    places = F.when(F.size(tokens) >= 2, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
-    same = F.size(F.filter(places, lambda i: F.element_at(tokens, i) == F.element_at(tokens, i + 1)))
     out = (
         F.when(gen.isNull() | (F.length(gen) < 12) | (F.length(gen) > 260), "length")
         .when((F.length(gen) >= 60) & ~F.rtrim(gen).rlike(r"[.!?…\")]$"), "cut")
-        .when((F.size(letters) < 6) | (F.size(F.array_distinct(letters)) < F.least(F.lit(12), F.floor(F.size(letters) * 0.3))), "letters")
+        .when(_few_letters(gen), "letters")
         .when(F.size(tokens) < 3, "words")
         .when(F.array_contains(tokens, "eos"), "marker")
         .when((shared < 2) | (shared / F.size(own) < 0.25), "topic")
@@ -120,22 +123,60 @@ def generated_gate(gen: Column, tokens: Column, canned: Column, keywords: Column
         asked = F.array_distinct(F.coalesce(query, F.array().cast("array<string>")))
         out = out.when((F.size(asked) >= 3) & ~F.arrays_overlap(own, asked), "question")
     out = out.when(F.size(F.array_except(own, canned)) / F.size(own) < novelty, "copied")
-    return out.when((F.size(tokens) >= 4) & (same / (F.size(tokens) - 1) > 0.5), "stutter")
+    return out.when(_stutters(tokens), "stutter")
+
+
+def _few_letters(gen: Column) -> Column:
+    letters = _letters(F.lower(gen))
+    return (F.size(letters) < 6) | (F.size(F.array_distinct(letters)) < F.least(F.lit(12), F.floor(F.size(letters) * 0.3)))
+
+
+def _stutters(tokens: Column) -> Column:
+    """More than half of the neighbouring tokens are equal, of four or more."""
+    places = F.when(F.size(tokens) >= 2, F.sequence(F.lit(1), F.size(tokens) - 1)).otherwise(F.array().cast("array<int>"))
+    same = F.size(F.filter(places, lambda i: F.element_at(tokens, i) == F.element_at(tokens, i + 1)))
+    return (F.size(tokens) >= 4) & (same / (F.size(tokens) - 1) > 0.5)
 
 
 def rephrase_gate(gen: Column, tokens: Column, knowledge: Column) -> Column:
-    """As ``generated_gate`` for a rephrased fact: no end mark needed, a fifth shared with it."""
+    """The first rule that a rephrased fact breaks, or null: no end mark needed, a fifth shared with the fact."""
     own = F.array_distinct(tokens)
     shared = F.size(F.array_intersect(own, knowledge))
     return (
         F.when(gen.isNull() | (F.length(gen) < 12) | (F.length(gen) > 260), "length")
+        .when(_few_letters(gen), "letters")
+        .when(F.size(knowledge) == 0, "knowledge")
         .when(F.size(tokens) < 3, "words")
-        .when(F.array_contains(tokens, "eos"), "marker")
         .when((shared < 2) | (shared / F.size(own) < 0.2), "topic")
         .when(F.size(F.array_except(own, knowledge)) / F.size(own) < 0.15, "copied")
+        .when(_stutters(tokens), "stutter")
     )
 
 
+#: Fillers that show an answer to be empty, and parts of answers without knowledge (fixed values).
+NO_KNOWLEDGE = ("bilgim yok", "uydurmak istemem", "bilmiyorum")
+
+
+def fallback_marks(c: Column, fillers: list[str]) -> Column:
+    """``struct(lower_start, unfinished, fillers, chars)`` of a trimmed answer."""
+    t = F.trim(F.coalesce(c, F.lit("")))
+    low = F.lower(ascii_fold(t))
+    first = F.substring(t, 1, 1)
+    found = F.filter(F.array(*[F.lit(x) for x in fillers]), lambda x: F.contains(low, x))
+    return F.struct(first.rlike(r"^\p{Ll}").alias("lower_start"), ((t != "") & ~t.rlike(r"[.!?…]$")).alias("unfinished"), found.alias("fillers"), F.length(t).alias("chars"))
+
+
+def is_blank_bucket(c: Column) -> Column:
+    """The answer says that it doesn't know."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    return low.rlike("|".join(NO_KNOWLEDGE))
+
+
+def is_cut(c: Column) -> Column:
+    """The answer ends in a letter, without an end mark."""
+    return F.trim(F.coalesce(c, F.lit(""))).rlike(r"\p{L}$")
+
+
 def chunk_anchored(title: Column, question: Column) -> Column:
     """The title's first word is asked for, and all that is asked is in the title (word arrays)."""
     return F.array_contains(question, F.element_at(title, 1)) & (F.size(F.array_except(question, title)) == 0)

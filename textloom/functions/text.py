@@ -24,16 +24,20 @@ FOREIGN = r"[\u0600-\u06ff\u0750-\u077f\u08a0-\u08ff\u0400-\u052f\u0370-\u03ff\u
 def fold_tables() -> tuple[str, str]:
     """Characters and, place by place, what they fold to; characters beyond are deleted.
 
-    Made from Unicode's canonical decompositions of the Latin blocks: a letter folds to its base
-    letter, and combining marks go.
+    Made from Unicode's canonical decompositions in every script: a letter folds to its base
+    letter, and combining marks go. Hangul syllables, whose parts are letters, stay.
     """
     table = dict(SINGLE_FOLD)
-    for code in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00)]:
+    marks = []
+    for code in range(0x80, 0x30000):
         c = chr(code)
-        base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
-        if len(base) == 1 and base != c and c not in table and c not in MULTI_FOLD:
-            table[c] = base
-    marks = "".join(chr(code) for code in range(0x300, 0x370) if unicodedata.combining(chr(code)))
+        if unicodedata.combining(c):
+            marks.append(c)
+        elif unicodedata.decomposition(c) and c not in table and c not in MULTI_FOLD:
+            base = "".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))
+            if len(base) == 1 and base != c:
+                table[c] = base
+    marks = "".join(marks)
     return "".join(table) + marks, "".join(table.values())
 
 
@@ -49,7 +53,7 @@ def _strip(c: Column) -> Column:
 
 
 def ascii_fold(c: Column) -> Column:
-    """Accented Latin letters to ASCII, case kept; other scripts stay."""
+    """Letters without their accents, in every script; special Latin letters to ASCII; case is kept."""
     many = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), MULTI_FOLD.items(), _text(c))
     return F.translate(many, FOLD_FROM, FOLD_TO)
 
@@ -107,11 +111,27 @@ def crawl_clean(c: Column) -> Column:
 ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&nbsp;": " ", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&rsquo;": "’", "&lsquo;": "‘", "&ldquo;": "“", "&rdquo;": "”", "&eacute;": "é", "&ccedil;": "ç", "&ouml;": "ö", "&uuml;": "ü", "&amp;": "&"}
 
 
+def _numeric_entities(t: Column) -> Column:
+    """Decimal and hexadecimal character references as their characters; invalid ones stay."""
+    pieces = F.regexp_extract_all(t, F.lit(r"(?s)(&#[0-9]{1,7};|&#[xX][0-9a-fA-F]{1,6};|[^&]+|&)"), 1)
+
+    def decoded(p: Column) -> Column:
+        number = F.when(p.rlike("^&#[xX]"), F.conv(F.regexp_extract(p, "^&#[xX]([0-9a-fA-F]+);$", 1), 16, 10)).otherwise(F.regexp_extract(p, "^&#([0-9]+);$", 1)).try_cast("int")
+        bytes_ = F.when(number < 0x80, F.array(number)).when(number < 0x800, F.array(F.lit(0xC0) + F.shiftright(number, 6), F.lit(0x80) + number % 64))
+        bytes_ = bytes_.when(number < 0x10000, F.array(F.lit(0xE0) + F.shiftright(number, 12), F.lit(0x80) + F.shiftright(number, 6) % 64, F.lit(0x80) + number % 64))
+        bytes_ = bytes_.otherwise(F.array(F.lit(0xF0) + F.shiftright(number, 18), F.lit(0x80) + F.shiftright(number, 12) % 64, F.lit(0x80) + F.shiftright(number, 6) % 64, F.lit(0x80) + number % 64))
+        made = F.decode(F.unhex(F.array_join(F.transform(bytes_, lambda b: F.lpad(F.hex(b), 2, "0")), "")), "UTF-8")
+        valid = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        return F.when(p.rlike("^&#.") & valid, made).otherwise(p)
+
+    return F.when(F.contains(t, F.lit("&#")), F.array_join(F.transform(pieces, decoded), "")).otherwise(t)
+
+
 def html_to_text(c: Column) -> Column:
     """Text of a page: without scripts and styles, tags and short codes, with entities decoded."""
     t = F.regexp_replace(_text(c), r"(?is)<(script|style)[^>]*>.*?</\1>", " ")
     t = F.regexp_replace(t, r"<[^>]+>", " ")
-    t = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), t)
+    t = reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), ENTITIES.items(), _numeric_entities(t))
     t = F.regexp_replace(t, r":[a-zA-Z0-9_+\-]+:", " ")
     return _strip(F.regexp_replace(t, rf"{WHITE}{{2,}}", " "))
 
@@ -211,6 +231,23 @@ def usable_sentences(c: Column, low: int = 25, high: int = 250) -> Column:
     return F.filter(sentences(c), lambda s: (F.length(s) > low) & (F.length(s) < high) & ~s.rlike(r"(?i)http|www"))
 
 
+def plain_sentences(c: Column) -> Column:
+    """Parts between runs of sentence marks; a point between digits splits nothing."""
+    t = F.regexp_replace(_text(c), r"(\p{Nd})\.(\p{Nd})", "$1\uff0e$2")
+    parts = F.transform(F.split(t, rf"[.!?…]+{WHITE}*"), lambda s: _strip(F.replace(s, F.lit("\uff0e"), F.lit("."))))
+    return F.filter(parts, lambda s: s != "")
+
+
+def marked_sentences(c: Column) -> Column:
+    """Parts behind sentence marks that white space follows, with their marks."""
+    return F.filter(F.split(_strip(_text(c)), rf"(?<=[.!?]){WHITE}+"), lambda s: s != "")
+
+
+def joined_sentences(parts: Column) -> Column:
+    """Sentences joined again; each ends in a full stop whatever its mark was."""
+    return F.array_join(F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.concat(F.regexp_replace(s, r"[.!?]+$", ""), F.lit("."))), " ")
+
+
 def clauses(c: Column) -> Column:
     """Parts between commas and semicolons."""
     return F.filter(F.transform(F.split(_text(c), r"[,;]"), _strip), lambda s: s != "")

@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import ascii_fold
+from textloom.functions.text import WHITE, ascii_fold
 
 EVAL_TOKEN = r"([a-zçğıöşü0-9]+)"
 #: Word lists (fixed values); each consumer has its own.
 STOP_EVAL = "bu su o bir ve ile icin kac hangi nasil ne neden niye ama da de daha en var yok mi mu gibi dahi ya he ben sen biz siz onlar benim senin onun bizim sizin beni bana seni sana ona onu lutfen evet hayir tamam olur peki cok sonra once iste ki ancak hem eger yoksa ayni baska sey e mis".split()
 STOP_TR = "bir ve bu da de ile icin cok daha olarak gibi kadar sonra ancak ise ya her ne ben sen biz siz onlar olan var yok nasil neden nerede hangi sey zaman ayni fakat cunku uzeri gore tarafindan once artik hem mi mu ki".split()
 STOP_EN = "the and you your that this for with are was have not but can what how when where why does do is it in on at to of my we our they their there here would could should will about from by as if or me him she he us am been being has had were".split()
+#: Words that carry no topic, words too general to prove one, words of question patterns, and words left out of a search (fixed values).
+STOPWORDS = (
+    "mi mu miyim misin misiniz msin msiniz sen ben bana sana bu su neyi hangisi ne hangi kac nasil neden nicin bir da de ya ki miydi midir neydi var yok baska tane daha "
+    "zam kurult hakk bilk ver bilg anlat soyle kal olur olabilir edebil eder onerr oner nere neres hank hangis kim kimt ney nered kimi kimin neyi nic ned neye nerde nerdey "
+    "edil yapil yapilir yap miy sence bence ile icin gibi kadar cok hic biraz az en once sonra zaman simdi bugun yarin dun acaba sanki peki ama ve ancak cunku ayrica belki "
+    "biz siz onlar onun bunun sunun birsey sey miyiz miyuz miyim muyuz muyum musun bende"
+).split()
+WEAK_WORDS = (
+    "buyuk kucuk sehir yer yil gun ay saat dakika isim ad sey konu soru bilgi tarih sayi is tur dil ulke kisi insan yontem sekil turler cesit farkli ayni yeni eski iyi kötü guzel "
+    "en cok az ilk son ana temel genel ozel kendisi kendine biz siz onlar her cogu hepsi"
+).split()
+QUESTION_WORDS = "nedir kimdir kactir nerede hakkinda bilgi ver anlat ne demek bana mi mu".split()
+STOP_QUERY = (
+    "nedir ne neydi nedi kimdir kim nasil neden nicin nerede hakkinda bilgi ver soyle anlat konus ogret yaz bana ben sen bu su bir mi mu degil acikla detay icer ban beraber "
+    "soruyorum merak ediyorum istedim ilet amonle acayip coo sey hani her seyn bagir mr ly any velo cam asiri var hangi ulkede ulkesinde ulkelerde sehirde neresinde ilcesi neye kime "
+    "neresi neres kac udur dir nufus komsu"
+).split()
 #: Suffixes in the order in which they are tried (fixed values).
 SUFFIXES = (
     "misiniz miyim musunuz misin lerimiz larimiz leriniz lariniz lerine larina lerin larin lari leri lere lara lar ler "
@@ -35,6 +54,28 @@ def stem_series(words: pd.Series) -> pd.Series:
     return words.map(stem_word, na_action="ignore")
 
 
+class _Stems(dict):
+    """Words to stems; bounded, filled on demand."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= 100_000:
+            self.clear()
+        self[word] = found = stem_word(word)
+        return found
+
+
+def stem_words(words: Column) -> Column:
+    """The stems of an array of words, in Arrow batches; each worker stems a word once."""
+
+    @F.pandas_udf("array<string>")
+    def stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        known = _Stems()
+        for batch in batches:
+            yield batch.map(lambda ws: [known[w] for w in ws], na_action="ignore")
+
+    return stems(words)
+
+
 def let(value: Column, f) -> Column:
     """``f(value)`` with the value computed once, also inside higher-order functions."""
     return F.element_at(F.transform(F.array(value), f), 1)
@@ -48,7 +89,7 @@ def stemmed(words: DataFrame, word_col: str = "word") -> DataFrame:
 def plain_words(c: Column) -> Column:
     """Lower case, folded, ASCII punctuation deleted, split at spaces."""
     t = F.regexp_replace(ascii_fold(F.lower(F.coalesce(c, F.lit("")))), r"[!-/:-@\[-`{-~]", "")
-    return F.filter(F.split(t, r"\s+"), lambda w: w != "")
+    return F.filter(F.split(t, rf"{WHITE}+"), lambda w: w != "")
 
 
 def eval_tokens(c: Column) -> Column:
@@ -79,8 +120,7 @@ def trigram_set(c: Column) -> Column:
     """Distinct character trigrams of the folded letters and digits."""
 
     def made(t: Column) -> Column:
-        places = F.when(F.length(t) >= 3, F.sequence(F.lit(1), F.length(t) - 2)).otherwise(F.array().cast("array<int>"))
-        return F.array_distinct(F.transform(places, lambda i: F.substring(t, i, F.lit(3))))
+        return F.array_distinct(F.regexp_extract_all(t, F.lit("(?=(...))"), 1))
 
     return let(F.regexp_replace(F.lower(ascii_fold(c)), r"[^a-z0-9]", ""), made)
 
@@ -89,17 +129,58 @@ def with_bigrams(stems: Column, stop: list[str]) -> Column:
     """Stems followed by the pairs of neighbours that are both content words of four letters."""
     words = F.array(*[F.lit(w) for w in stop])
     good = lambda w: (F.length(w) >= 4) & ~F.array_contains(words, w)
-    places = F.when(F.size(stems) >= 2, F.sequence(F.lit(1), F.size(stems) - 1)).otherwise(F.array().cast("array<int>"))
-    pairs = F.filter(F.transform(places, lambda i: F.struct(F.element_at(stems, i).alias("a"), F.element_at(stems, i + 1).alias("b"))), lambda p: good(p["a"]) & good(p["b"]))
+    n = F.greatest(F.size(stems) - 1, F.lit(0))
+    both = F.zip_with(F.slice(stems, F.lit(1), n), F.slice(stems, F.lit(2), n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    pairs = F.filter(both, lambda p: good(p["a"]) & good(p["b"]))
     return F.concat(stems, F.transform(pairs, lambda p: F.concat_ws("_", p["a"], p["b"])))
 
 
+def engine_tokens(c: Column) -> Column:
+    """What the retrieval engine indexes and looks up: stems and bigrams without stop words."""
+    return search_terms(with_bigrams(stem_words(plain_words(c)), STOPWORDS))
+
+
 def tokenised(docs: DataFrame, id_col: str, text_col: str, stop: list[str]) -> DataFrame:
-    """``id, tokens``: stems and bigrams of each text; stems come from a join on distinct words."""
-    words = docs.select(F.col(id_col).alias("id"), F.posexplode(plain_words(F.col(text_col))).alias("at", "word"))
-    named = words.join(stemmed(words), "word")
-    stems = named.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda x: x["stem"]).alias("stems"))
-    return stems.select("id", with_bigrams(F.col("stems"), stop).alias("tokens"))
+    """``id, tokens``: stems and bigrams of each text, in its row: no word is shuffled."""
+    return docs.select(F.col(id_col).alias("id"), with_bigrams(stem_words(plain_words(F.col(text_col))), stop).alias("tokens"))
+
+
+def _in(words) -> Column:
+    return F.array(*[F.lit(w) for w in dict.fromkeys(words)])
+
+
+def weak_stems() -> list[str]:
+    """Stems of the words that are too general to prove a topic."""
+    return sorted({stem_word(w) for w in WEAK_WORDS})
+
+
+def search_terms(tokens: Column) -> Column:
+    """Tokens (stems and bigrams) without stop words."""
+    return F.filter(tokens, lambda w: ~F.array_contains(_in(STOPWORDS), w))
+
+
+def topic_words(tokens: Column) -> Column:
+    """The distinct tokens that carry a topic: no stop words, no general words."""
+    return F.array_distinct(F.filter(tokens, lambda w: ~F.array_contains(_in(STOPWORDS + weak_stems()), w)))
+
+
+def raw_words(c: Column) -> Column:
+    """The whole words of a text, in order, that carry a topic and have three letters.
+
+    Stop words go as they are, general words and question patterns also by their stems.
+    """
+    words = plain_words(c)
+    pairs = F.zip_with(words, stem_words(words), lambda w, s: F.struct(w.alias("w"), s.alias("s")))
+    stop, dull = _in(STOPWORDS + QUESTION_WORDS), _in([*weak_stems(), *QUESTION_WORDS])
+    good = F.filter(pairs, lambda x: ~F.array_contains(stop, x["w"]) & ~F.array_contains(dull, x["s"]) & (F.length(x["w"]) >= 3))
+    return F.transform(good, lambda x: x["w"])
+
+
+def clean_query(c: Column) -> Column:
+    """Lower case, the first six words of three letters that say what is searched for."""
+    t = F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"[^\p{L}\p{N}_\s]", " ")
+    kept = F.filter(F.split(t, r"\s+"), lambda w: (F.length(w) >= 3) & ~F.array_contains(_in(STOP_QUERY), w))
+    return F.array_join(F.slice(kept, 1, 6), " ")
 
 
 def djb2(c: Column) -> Column:

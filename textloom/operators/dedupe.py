@@ -28,17 +28,23 @@ def word_set(c: Column) -> Column:
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     """Pairs ``a, b`` of keys whose word sets reach the threshold, both directions.
 
-    ``sets`` has ``key, words``. Only the rarest words of a set are indexed, as many as any
-    similar set must share one of; sizes are compared before the sets.
+    ``sets`` has ``key, words``. Only the rarest words of a set are indexed: of the larger set as
+    many as any similar one must share one of, of the smaller as many as that one must be among.
+    A pair meets at its first shared word; what stands before it is lost to the overlap.
     """
     words = sets.select("key", F.explode("words").alias("word"))
     rare = words.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ranked = words.join(rare, "word").groupBy("key").agg(F.array_sort(F.collect_list(F.struct("df", "word"))).alias("by"))
     n = F.size("by")
-    prefix = ranked.select("key", n.alias("n"), F.explode(F.transform(F.slice("by", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")), lambda x: x["word"])).alias("word"))
-    left, right = prefix.alias("l"), prefix.alias("r")
-    fits = (F.col("l.key") < F.col("r.key")) & (F.least("l.n", "r.n") >= threshold * F.greatest("l.n", "r.n") - 1e-9)
-    found = left.join(right, (F.col("l.word") == F.col("r.word")) & fits).select(F.col("l.key").alias("a"), F.col("r.key").alias("b")).distinct()
+    among = 2 * threshold / (1 + threshold)
+    prefix = ranked.select("key", n.alias("n"), F.posexplode(F.transform(F.slice("by", F.lit(1), (n - F.ceil(n * threshold - 1e-9) + 1).cast("int")), lambda x: x)).alias("at", "x"))
+    prefix = prefix.where("x.df > 1").select("key", "n", "at", F.col("x.word").alias("word"), (F.col("at") < F.col("n") - F.ceil(F.col("n") * among - 1e-9) + 1).alias("own"))
+    prefix = materialise(prefix, "dedupe-prefixes")
+    small = prefix.where("own").select("word", *[F.col(c).alias(f"{c}_b") for c in ("key", "n", "at")])
+    ordered = (F.col("n_b") < F.col("n")) | ((F.col("n_b") == F.col("n")) & (F.col("key_b") < F.col("key")))
+    overlap = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) >= (F.col("n") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-6
+    fits = ordered & (F.col("n_b") >= threshold * F.col("n") - 1e-9) & overlap
+    found = prefix.join(small, "word").where(fits).select(F.col("key").alias("a"), F.col("key_b").alias("b")).distinct()
     full = found.join(sets.select(F.col("key").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("key").alias("b"), F.col("words").alias("wb")), "b")
     near = full.where(jaccard(F.col("wa"), F.col("wb")) >= threshold).select("a", "b")
     return near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -75,6 +81,12 @@ def dedupe_pairs(pairs: DataFrame, order: str = "ord", ctx: str = "ctx", resp: s
     return state.where("kept").select("ord", F.lit(None).cast("string").alias("reason")).unionByName(named)
 
 
+def dedupe_with_source(pairs: DataFrame, order: str = "ord", ctx: str = "ctx", resp: str = "resp", threshold: float = 0.9) -> DataFrame:
+    """The kept rows with all their columns (a source among them); sources are given in order of precedence by ``order``."""
+    kept = dedupe_pairs(pairs, order, ctx, resp, threshold).where("reason is null").select(F.col("ord").alias(order))
+    return pairs.join(kept, order, "left_semi")
+
+
 def repeated_answers(answers: DataFrame, group: str, order: str, tokens: str, threshold: float = 0.85) -> DataFrame:
     """Answers that are like an earlier one of their group: ``group, ord, earlier``."""
     a = answers.select(F.col(group).alias("g"), F.col(order).alias("ord"), F.array_distinct(F.col(tokens)).alias("t"))

@@ -18,6 +18,7 @@ from textloom.functions.tokens import STOP_EVAL, ascii_tokens, djb2
 
 #: Question templates of a topic (fixed values).
 TEMPLATES = ("{} nedir", "{} kimdir", "{} hakkinda bilgi ver", "{} ne demek", "bana {} anlat", "{} nerede")
+#: Number words, negative words and negative endings (fixed values).
 COUNT_WORDS = {"bir": 1, "iki": 2, "uc": 3, "dort": 4, "bes": 5, "alti": 6, "yedi": 7, "sekiz": 8, "dokuz": 9, "on": 10}
 NEGATIVE = "degil degilim hayir asla hic yok yoktur nefret olmaz yapma etme gitme gelme isteme sevme verme alma durma konusma soyleme calisma izleme".split()
 NEGATIVE_ENDINGS = "meyecegim mayacagim miyordum miyorsunuz miyorsun miyorum miyorlar miyor miyiz miyim meyeceksin mayacaksin meyecek mayacak madim medim madin medin mam mem mazsin mazsun maz mez mayayim meyeyim masan mesin".split()

@@ -85,10 +85,26 @@ def guarded_overwrite(before: DataFrame, after: DataFrame, path: str, max_drop:
     drop = (n - m) / n if n else 0.0
     if drop > max_drop and not force:
         raise ValueError(f"{drop:.1%} of {n} rows would be lost, more than {max_drop:.1%}; nothing is written")
-    after.write.mode("overwrite").parquet(path)
+    replace_table(after, path)
     return drop
 
 
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Write beside ``path`` and rename, so that readers see the old table or the new one, and ``rows`` may be read from ``path``."""
+    spark = rows.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = lambda suffix: jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + suffix)
+    files = at("").getFileSystem(conf)
+    rows.write.mode("overwrite").parquet(path.rstrip("/") + ".staged")
+    files.delete(at(".before"), True)
+    if files.exists(at("")) and not files.rename(at(""), at(".before")):
+        raise OSError(f"{path} can't be moved away; the new rows are in {path}.staged")
+    if not files.rename(at(".staged"), at("")):
+        files.rename(at(".before"), at(""))
+        raise OSError(f"{path}.staged can't take the place of {path}")
+    files.delete(at(".before"), True)
+
+
 def write_nonempty(rows: DataFrame, path: str) -> bool:
     """Append the rows as JSON lines; without rows no file is made."""
     if rows.isEmpty():
@@ -101,19 +117,36 @@ def within_budget(rows: DataFrame, order: str, text: str, budget: int) -> DataFr
     """Rows in order until their UTF-8 bytes reach the budget (the row that reaches it included).
 
     A global running sum without a global sort: bytes are summed by range of the order column,
-    and only the range where the budget falls is summed row by row.
+    ranges below the budget pass whole, and the one range where it falls is cut into ranges
+    again, until it holds one value of ``order``, of which every row counts as before the budget
+    if the first does.
     """
-    buckets = 1000
+    size = F.coalesce(F.octet_length(text), F.lit(0))
     lo, hi = rows.agg(F.min(order), F.max(order)).first()
     if lo is None:
         return rows
-    width = max(1, (hi - lo) // buckets + 1)
-    size = F.coalesce(F.octet_length(text), F.lit(0))
-    part = rows.withColumn("__b", F.floor((F.col(order) - lo) / width)).withColumn("__s", size)
-    sums = part.groupBy("__b").agg(F.sum("__s").alias("bytes")).withColumn("__before", F.coalesce(F.sum("bytes").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    near = part.join(F.broadcast(sums.where(F.col("__before") < budget).select("__b", "__before")), "__b")
-    run = F.coalesce(F.sum("__s").over(Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return near.withColumn("__run", run).where(F.col("__before") + F.col("__run") < budget).select(*rows.columns)
+    before, start, stop = 0, lo, hi
+    while start <= stop:  # every round narrows the range a thousandfold
+        width = max(1, -(-(stop - start + 1) // 1_000))
+        inside = rows.where(F.col(order).between(start, stop))
+        sums = inside.groupBy(F.floor((F.col(order) - start) / width).alias("b")).agg(F.sum(size).alias("bytes")).orderBy("b").collect()
+        for r in sums:
+            if before + r["bytes"] >= budget:
+                break
+            before += r["bytes"]
+        else:
+            return rows.where(F.col(order) <= stop)
+        start, stop = start + r["b"] * width, min(stop, start + (r["b"] + 1) * width - 1)
+        if start == stop:
+            break
+    return rows.where(F.col(order) <= start) if before < budget else rows.where(F.col(order) < start)
+
+
+def key_sets(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
+    """``key, side`` of every key: both, left or right; union, intersection and differences are filters of it."""
+    marked = a.select(key, F.lit(1).alias("l"), F.lit(0).alias("r")).unionByName(b.select(key, F.lit(0).alias("l"), F.lit(1).alias("r")))
+    kinds = marked.groupBy(key).agg(F.max("l").alias("l"), F.max("r").alias("r"))
+    return kinds.select(key, F.when(F.col("l") + F.col("r") == 2, "both").when(F.col("l") == 1, "left").otherwise("right").alias("side"))
 
 
 def drift(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:

@@ -7,19 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.tokens import STOP_EVAL, content_terms, eval_tokens, ngrams
+from textloom.functions.tokens import STOP_EVAL, content_terms, eval_tokens, let, ngrams
 
 METRIC_VERSION = 3
 METRICS = ("copy_bleu", "copy_prec1", "rep2", "distinct1", "fluency", "topic_q", "topic_k", "topic_mean", "gold_recall", "length_ratio", "avg_word_len", "gen_index", "qa_score")
 
 
-def _count(items: Column, x: Column) -> Column:
-    return F.size(F.filter(items, lambda y: y == x))
+def numbered(items: Column) -> Column:
+    """Each item with its occurrence number: equal multisets become equal sets."""
+    return let(F.array_sort(items), lambda xs: F.transform(xs, lambda x, i: F.concat_ws("#", x, (i - F.array_position(xs, x)).cast("string"))))
 
 
 def clipped_hits(ref: Column, cand: Column) -> Column:
     """Sum over distinct candidate items of the smaller of both counts."""
-    return F.aggregate(F.array_distinct(cand), F.lit(0), lambda a, x: a + F.least(_count(cand, x), _count(ref, x)))
+    return F.size(F.array_intersect(numbered(cand), numbered(ref)))
 
 
 def bleu(ref: Column, cand: Column, max_n: int = 4, smooth: bool = False) -> Column:
@@ -97,6 +98,38 @@ def measure(rows: DataFrame, query: str = "query", gold: str = "gold", generated
     return t.drop("__c", "__r", "__q")
 
 
+def usable_hit(accept: Column, expected: Column, predicted: Column, is_class: Column, unclear: str = "Anlayamadim") -> Column:
+    """Whether a prediction counts: the expected tag, or for out-of-scope questions no chat class."""
+    return F.when(accept == "sohbet_sinifi_DEGIL", ~is_class).when(expected == unclear, predicted == unclear).otherwise(predicted.eqNullSafe(expected))
+
+
+def hit_rates(rows: DataFrame, by: list[str], flags: dict[str, Column]) -> DataFrame:
+    """``n`` and, for each flag, its count and rate by group."""
+    counts = [F.count_if(c).alias(f"n_{k}") for k, c in flags.items()]
+    out = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *counts)
+    return out.select(*by, "n", *[f"n_{k}" for k in flags], *[(F.col(f"n_{k}") / F.col("n")).alias(f"rate_{k}") for k in flags])
+
+
+def worst(rows: DataFrame, score: str, key: str, k: int = 5) -> DataFrame:
+    """The ``k`` rows of the lowest score; equals by key."""
+    return rows.orderBy(F.col(score).asc_nulls_last(), key).limit(k)
+
+
+def most_common(rows: DataFrame, column: str, k: int = 20) -> DataFrame:
+    """The ``k`` most frequent values; equals in the order of the values."""
+    return rows.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), column).limit(k)
+
+
+def token_accuracy(rows: DataFrame, predicted: str = "predicted", target: str = "target", mask: str = "mask") -> DataFrame:
+    """``right, counted, accuracy`` over all rows of token arrays: place i of the prediction is for token i + 1, where the mask at i is set."""
+    n = F.least(F.size(predicted), F.size(target) - 1, F.size(mask) - 1)
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    counted = F.filter(places, lambda i: F.get(F.col(mask), i) > 0)
+    right = F.filter(counted, lambda i: F.get(F.col(predicted), i) == F.get(F.col(target), i + 1))
+    sums = rows.select(F.size(right).alias("r"), F.size(counted).alias("c")).agg(F.coalesce(F.sum("r"), F.lit(0)).alias("right"), F.coalesce(F.sum("c"), F.lit(0)).alias("counted"))
+    return sums.withColumn("accuracy", F.when(F.col("counted") > 0, F.col("right") / F.col("counted")).otherwise(F.lit(0.0)))
+
+
 def aggregate_report(measured: DataFrame, generated: str = "generated", by: list[str] | None = None) -> DataFrame:
     """Mean and population deviation of every metric, and how many outputs are empty."""
     aggs = [F.count(F.lit(1)).alias("n"), F.count_if(F.size(eval_tokens(F.col(generated))) == 0).alias("n_empty"), F.count("topic_k").alias("n_knowledge")]

@@ -62,6 +62,49 @@ def message_text(message: Column) -> Column:
     return F.coalesce(*[F.nullif(F.trim(F.element_at(message, k)), F.lit("")) for k in ("content", "text", "value")])
 
 
+#: Sources whose records are conversations (fixed values).
+CONVERSATION_SOURCES = ("SoAp9035/everyday-conversations-tur", "3nesdeniz/turkish-daily-dialogues-5k", "kilicai/turkish-sft-multi-turn-dialogue-10k", "seed")
+
+
+def conversation_pairs(chats: DataFrame, sources: tuple[str, ...] = CONVERSATION_SOURCES, ctx_max: int = 64, resp_max: int = 204, cap: int | None = 20_000, seed: int = 11) -> DataFrame:
+    """``ctx, resp`` of chat records (``query, answer, source``) from allowed sources, each pair once.
+
+    Both sides are cleaned and have six characters; the order is by hash, and ``cap`` bounds the
+    training set (None: all).
+    """
+    from textloom.operators.sampling import shuffle_key
+
+    each = chats.where(F.col("source").isin(*sources)).select(clean_chars(F.col("query"), ctx_max).alias("ctx"), F.explode("answer").alias("a"))
+    made = each.select("ctx", clean_response(F.col("a"), resp_max).alias("resp")).where((F.length("ctx") >= 6) & (F.length("resp") >= 6)).distinct()
+    return made.orderBy(shuffle_key("ctx", "resp", seed=seed), "ctx", "resp").limit(cap) if cap is not None else made
+
+
+def without_overlap(knowledge: DataFrame, conversation: DataFrame, ctx: str = "ctx") -> DataFrame:
+    """Knowledge pairs whose context no conversation pair has."""
+    return knowledge.join(conversation.select(ctx).distinct(), ctx, "left_anti")
+
+
+#: Converters of sources to pairs (fixed names); a converter takes the source's rows.
+CONVERTERS = {
+    "tascib/turkish-instruction": lambda rows: instruction_pairs(rows),
+    "erythropygia/ThinkingData-200K-Turkish": lambda rows: thinking_pairs(rows, "question", "reasoning", "answer"),
+    "kilicai/turkish-sft-multi-turn-dialogue-10k": lambda rows: gated_pairs(chat_pairs(rows).select("ctx", "resp")),
+    "3nesdeniz/turkish-daily-dialogues-5k": lambda rows: gated_pairs(chat_pairs(rows, text="content").select("ctx", "resp")),
+    "SoAp9035/everyday-conversations-tur": lambda rows: gated_pairs(chat_pairs(rows, text="value").select("ctx", "resp")),
+    "Renicames/turkish-law-chatbot": lambda rows: question_pairs(rows, "question", "answer"),
+}
+
+
+def source_pairs(rows: DataFrame, source: str, max_pairs: int, thoughts: bool = False, seed: int = 7) -> DataFrame:
+    """Pairs of a source by its converter, shuffled by hash: twice the wanted number (three times with thoughts) and 64, to make up for later losses."""
+    from textloom.operators.sampling import shuffle_key
+
+    if source not in CONVERTERS:
+        raise KeyError(f"no converter for {source}")
+    budget = max_pairs * (3 if thoughts else 2) + 64
+    return CONVERTERS[source](rows).limit(budget).orderBy(shuffle_key("ctx", "resp", seed=seed), "ctx", "resp")
+
+
 def verse_pairs(works: DataFrame, id_col: str, text_col: str, ctx_max: int = 300, resp_max: int = 300) -> DataFrame:
     """Each verse from the third on, with the two before it."""
     lines = works.select(F.col(id_col).alias("id"), F.posexplode(verses(F.col(text_col))).alias("at", "line"))

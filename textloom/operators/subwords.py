@@ -7,13 +7,13 @@ table of distinct words, bounded by ``max_words`` if that is given.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from textloom.functions.text import token_clean
+from textloom.functions.text import WHITE, token_clean
 from textloom.functions.tokens import ascii_tokens
 
 SPECIALS = ("[pad]", "[bos]", "[eos]", "[sep]")
@@ -49,11 +49,16 @@ def train_merges(words: dict[str, int], vocab_size: int, alphabet: list[str], le
             where[p].add(w)
     merges: list[tuple[str, str]] = []
     size = len(SPECIALS) + len(alphabet)
-    while counts and size + len(merges) < vocab_size:
-        best = min(counts, key=lambda p: (-counts[p], p))
-        if counts[best] < least:
+    heap = [(-n, p) for p, n in counts.items()]
+    heapify(heap)
+    while heap and size + len(merges) < vocab_size:
+        n, best = heappop(heap)
+        if counts.get(best, 0) != -n:  # an old entry; a changed pair has a newer one
+            continue
+        if -n < least:
             break
         merges.append(best)
+        changed = set()
         for w in list(where[best]):
             old, new, i = split[w], [], 0
             while i < len(old):
@@ -68,10 +73,15 @@ def train_merges(words: dict[str, int], vocab_size: int, alphabet: list[str], le
                 where[p].discard(w)
                 if counts[p] <= 0:
                     del counts[p]
+                changed.add(p)
             for p in zip(new, new[1:]):
                 counts[p] += words[w]
                 where[p].add(w)
+                changed.add(p)
             split[w] = new
+        for p in changed:
+            if counts.get(p, 0) > 0:
+                heappush(heap, (-counts[p], p))
     return merges
 
 
@@ -111,13 +121,21 @@ def encode_texts(docs: DataFrame, id_col: str, text: str, merges: list[tuple[str
     return ids.join(joined, "id", "left").select("id", F.coalesce("pieces", F.array(F.lit(SPECIALS[0]))).alias("pieces"))
 
 
+def decode_pieces(pieces: Column) -> Column:
+    """The text of pieces, specials left out: no space before a mark, one behind it if a word follows."""
+    kept = F.filter(pieces, lambda p: ~F.array_contains(F.array(*[F.lit(s) for s in SPECIALS]), p))
+    t = F.regexp_replace(F.array_join(kept, ""), rf"^{WHITE}+|{WHITE}+$", "")
+    t = F.regexp_replace(t, rf"{WHITE}+([.,;:!?…)])", "$1")
+    return F.regexp_replace(t, r"([.,;:!?…])(?=[a-zçğıöşü0-9])", "$1 ")
+
+
 def transitions(docs: DataFrame, id_col: str, text: str, head_least: int = 3, edge_least: int = 2) -> DataFrame:
     """``head, next, n``: word successions inside sentences, pruned by head total and edge count."""
     from textloom.functions.text import sentences
 
-    parts = docs.select(F.col(id_col).alias("id"), F.posexplode(sentences(F.col(text))).alias("s", "sentence"))
-    words = parts.select("id", "s", F.posexplode(ascii_tokens(F.col("sentence"))).alias("at", "word"))
-    follow = words.withColumn("next", F.lead("word").over(Window.partitionBy("id", "s").orderBy("at"))).where("next is not null")
-    edges = follow.groupBy(F.col("word").alias("head"), "next").agg(F.count(F.lit(1)).alias("n"))
+    words = docs.select(F.explode(sentences(F.col(text))).alias("sentence")).select(ascii_tokens(F.col("sentence")).alias("w")).where(F.size("w") > 1)
+    # neighbours stand in one array: its beginning and its end beside each other, no word is shuffled
+    pairs = F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("head"), F.slice("w", F.lit(2), F.size("w") - 1).alias("next"))
+    edges = words.select(F.inline(pairs)).groupBy("head", "next").agg(F.count(F.lit(1)).alias("n"))
     heads = edges.groupBy("head").agg(F.sum("n").alias("total")).where(F.col("total") >= head_least)
     return edges.join(heads, "head").where(F.col("n") >= edge_least).select("head", "next", "n")

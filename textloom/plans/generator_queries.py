@@ -36,7 +36,7 @@ def dialogue_memory(spark, d):
 
 
 def select_response(spark, d):
-    docs = table(spark, d, "documents").where("doc_id % 20 = 0").select(F.col("lang"), F.substring("text", 1, 120).alias("response"))
+    docs = table(spark, d, "documents").select("lang", F.col("text").alias("response"))
     q = table(spark, d, "benchmark").select("item_id", (F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("es"))[(F.col("item_id") % 4).cast("int")]).alias("lang"), ascii_tokens(F.col("text")).alias("words"))
     c = q.join(docs, "lang").withColumn("toks", ascii_tokens(F.col("response")))
     return generators.select_response(c, "item_id", "words", "response", "toks").select("item_id", F.col("score").cast("double").alias("score"))
@@ -74,7 +74,7 @@ ORACLE_SQL = {
     "dialogue_memory": """
         SELECT conv_id, turn, last_value(CASE WHEN length(text) % 3 = 0 THEN substring(text, 1, 12) END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_tag FROM conversations""",
     "select_response": f"""
-        WITH d AS (SELECT lang, substring(text, 1, 120) AS r FROM documents WHERE doc_id % 20 = 0), q AS (SELECT item_id, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS lang, {sql.ascii_tokens('text')} AS w FROM benchmark),
+        WITH d AS (SELECT lang, text AS r FROM documents), q AS (SELECT item_id, ['en', 'fr', 'de', 'es'][item_id % 4 + 1] AS lang, {sql.ascii_tokens('text')} AS w FROM benchmark),
              c AS (SELECT item_id, list_distinct(list_filter(w, lambda x: length(x) >= 3 AND NOT list_contains({sql.words(STOP_EVAL)}, x))) AS w, {sql.ascii_tokens('r')} AS t, lower({sql.fold('r')}) AS f FROM q JOIN d USING (lang))
         SELECT item_id, max(len(list_intersect(w, list_distinct(t))) + 0.5 * len(list_filter(w, lambda x: contains(f, x))))::DOUBLE AS score FROM c GROUP BY 1""",
 }

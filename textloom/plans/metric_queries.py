@@ -13,7 +13,7 @@ from textloom.streaming import jobs
 
 def _measured(spark, d):
     p = pairs.chat_pairs(table(spark, d, "conversations"))
-    halves = p.select("conv", "turn", F.col("ctx").alias("query"), F.col("resp").alias("gold"), F.concat_ws(" ", F.col("ctx"), F.substring("resp", 1, 200)).alias("generated"))
+    halves = p.select("conv", "turn", F.col("ctx").alias("query"), F.col("resp").alias("gold"), F.concat_ws(" ", "ctx", "resp").alias("generated"))
     return metrics.measure(halves, stop=STOP_EN)
 
 
@@ -56,8 +56,8 @@ def threshold_sweep(spark, d):
 
 
 def best_of_source(spark, d):
-    docs = table(spark, d, "documents").withColumn("ok", F.col("n_chars") < 5000).withColumn("head", F.substring("text", 1, 100))
-    return metrics.best_of(docs, "source", "doc_id", "head", "ok")
+    docs = table(spark, d, "documents").withColumn("ok", F.col("n_chars") < 5000)
+    return metrics.best_of(docs, "source", "doc_id", "text", "ok")
 
 
 def rag_stats(spark, d):
@@ -79,6 +79,29 @@ def rate_limit(spark, d):
     return jobs.rate_limited(table(spark, d, "events"), "event_id", "user_id", "ts", limit=3, seconds=86_400.0)
 
 
+def worst_items(spark, d):
+    m = _measured(spark, d).withColumn("key", F.col("conv") * 1000 + F.col("turn")).withColumn("qa_score", F.round("qa_score", 6))
+    return metrics.worst(m, "qa_score", "key", 5).select("conv", "turn", "qa_score")
+
+
+def common_words(spark, d):
+    words = table(spark, d, "documents").select(F.explode(eval_tokens(F.col("text"))).alias("word"))
+    return metrics.most_common(words, "word", 20)
+
+
+def hit_rates(spark, d):
+    j = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "lang"), "doc_id")
+    hit = metrics.usable_hit(F.when(F.col("doc_id") % 3 == 0, "sohbet_sinifi_DEGIL"), F.when(F.col("doc_id") % 5 == 0, "Anlayamadim").otherwise(F.col("quality").cast("string")), F.col("toxic").cast("string"), F.col("quality") == 1)
+    out = metrics.hit_rates(j, ["lang"], {"usable": hit, "toxic": F.col("toxic") == 1})
+    return out.select("lang", "n", "n_usable", "n_toxic", F.round("rate_usable", 6).alias("rate_usable"), F.round("rate_toxic", 6).alias("rate_toxic"))
+
+
+def token_accuracy(spark, d):
+    p = pairs.chat_pairs(table(spark, d, "conversations"))
+    rows = p.select(eval_tokens(F.col("ctx")).alias("predicted"), eval_tokens(F.col("resp")).alias("target")).withColumn("mask", F.transform("target", lambda x, i: (i % 3 != 0).cast("int")))
+    return metrics.token_accuracy(rows).select("right", "counted", F.round("accuracy", 6).alias("accuracy"))
+
+
 def order_revenue(spark, d):
     """Star-schema smoke: revenue by nation and year."""
     t = lambda n: table(spark, d, n)
@@ -86,7 +109,7 @@ def order_revenue(spark, d):
     return j.groupBy("n_name", F.year("o_orderdate").alias("year")).agg(F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"))
 
 
-QUERIES = {f.__name__: f for f in (metric_table, metric_report, paired_t, mcnemar, length_distribution, label_rates, threshold_sweep, best_of_source, rag_stats, case_damage, repeated_answers, rate_limit, order_revenue)}
+QUERIES = {f.__name__: f for f in (metric_table, metric_report, paired_t, mcnemar, length_distribution, label_rates, threshold_sweep, best_of_source, rag_stats, case_damage, repeated_answers, rate_limit, order_revenue, worst_items, common_words, hit_rates, token_accuracy)}
 
 
 def _clipped(ref: str, cand: str) -> str:
@@ -99,7 +122,7 @@ def _grams(t: str, n: int) -> str:
 
 _content = lambda t: f"list_filter({t}, lambda w: length(w) > 1 AND NOT list_contains({sql.words(STOP_EN)}, w))"
 _METRICS = f"""
-    WITH {sql.RAW_PAIRS}, t AS (SELECT conv, turn, {sql.eval_tokens("ctx || ' ' || substring(resp, 1, 200)")} AS c, {sql.eval_tokens('resp')} AS r, {sql.eval_tokens('ctx')} AS q FROM pairs),
+    WITH {sql.RAW_PAIRS}, t AS (SELECT conv, turn, {sql.eval_tokens("ctx || ' ' || resp")} AS c, {sql.eval_tokens('resp')} AS r, {sql.eval_tokens('ctx')} AS q FROM pairs),
     g AS (SELECT *, {', '.join(f'{_grams("c", n)} AS c{n}, {_grams("r", n)} AS r{n}' for n in range(1, 5))}, list_distinct({_content('c')}) AS cc, list_distinct({_content('r')}) AS rc, list_distinct({_content('q')}) AS qc FROM t),
     h AS (SELECT *, {', '.join(f'coalesce({_clipped(f"r{n}", f"c{n}")}, 0) AS h{n}' for n in range(1, 5))} FROM g),
     p AS (SELECT conv, turn, len(c) AS nc, len(r) AS nr,
@@ -132,7 +155,7 @@ ORACLE_SQL = {
     "threshold_sweep": f"""
         WITH v AS (SELECT len(list_distinct({sql.eval_tokens('text')})) / greatest(1, len({sql.eval_tokens('text')})) AS v FROM documents), t AS (SELECT unnest([0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8]::DOUBLE[]) AS threshold)
         SELECT threshold, count(*) AS n, count(*) FILTER (v >= threshold) AS accepted FROM v, t GROUP BY 1""",
-    "best_of_source": "SELECT source, arg_max(head, length(head) * 1000000000 - doc_id) AS best FROM (SELECT source, doc_id, substring(text, 1, 100) AS head FROM documents WHERE n_chars < 5000) GROUP BY 1",
+    "best_of_source": "SELECT source, arg_max(text, length(text) * 1000000000 - doc_id) AS best FROM (SELECT source, doc_id, text FROM documents WHERE n_chars < 5000) GROUP BY 1",
     "rag_stats": "SELECT count(*) FILTER (doc_id % 4 <> 0 AND text <> '') AS with_context, count(DISTINCT CASE WHEN doc_id % 4 <> 0 AND text <> '' THEN text END) AS distinct_context, count(*) AS pairs FROM documents",
     "case_damage": r"""
         WITH w AS (SELECT unnest(regexp_split_to_array(text, '[^\p{L}]+')) AS word FROM documents), s AS (SELECT translate(word, 'çğıöşüÇĞİÖŞÜ', 'cgiosucgiosu') AS x FROM w WHERE regexp_matches(word, '[^\x00-\x7F]') AND regexp_matches(word, '\p{Lu}'))
@@ -141,6 +164,17 @@ ORACLE_SQL = {
         WITH a AS (SELECT conv_id, turn, list_distinct({sql.eval_tokens('text')}) AS t FROM conversations WHERE role = 'assistant'),
              j AS (SELECT a.conv_id, a.turn, b.turn AS o, len(list_intersect(a.t, b.t)) AS s, len(a.t) AS n, len(b.t) AS m FROM a JOIN a b ON a.conv_id = b.conv_id AND b.turn < a.turn)
         SELECT conv_id, turn, min(o) AS earlier FROM j WHERE n > 0 AND m > 0 AND s / (n + m - s) >= 0.3 GROUP BY 1, 2""",
+    "worst_items": _METRICS + """
+        , s AS (SELECT conv, turn, round(0.65 * gold_recall + 0.25 * fluency + 0.05 * copy_bleu + 0.05 * greatest(0, 1 - least(1, abs(length_ratio - 1))) - CASE WHEN nc = 0 THEN 0.5 ELSE 0 END, 6) AS qa_score FROM f)
+        SELECT conv, turn, qa_score FROM s ORDER BY qa_score, conv * 1000 + turn LIMIT 5""",
+    "common_words": f"SELECT word, count(*) AS n FROM (SELECT unnest({sql.eval_tokens('text')}) AS word FROM documents) GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
+    "hit_rates": """
+        WITH h AS (SELECT lang, toxic = 1 AS t, CASE WHEN doc_id % 3 = 0 THEN quality <> 1 WHEN doc_id % 5 = 0 THEN false ELSE quality = toxic END AS u FROM labels JOIN documents USING (doc_id))
+        SELECT lang, count(*) AS n, count(*) FILTER (u) AS n_usable, count(*) FILTER (t) AS n_toxic, round(count(*) FILTER (u) / count(*), 6) AS rate_usable, round(count(*) FILTER (t) / count(*), 6) AS rate_toxic FROM h GROUP BY 1""",
+    "token_accuracy": f"""
+        WITH {sql.RAW_PAIRS}, t AS (SELECT {sql.eval_tokens('ctx')} AS p, {sql.eval_tokens('resp')} AS r FROM pairs),
+             i AS (SELECT p, r, unnest(range(0, least(len(p), len(r) - 1))) AS i FROM t)
+        SELECT count(*) FILTER (p[i + 1] = r[i + 2]) AS right, count(*) AS counted, round(count(*) FILTER (p[i + 1] = r[i + 2]) / count(*), 6) AS accuracy FROM i WHERE i % 3 <> 0""",
     "order_revenue": """
         SELECT n_name, year(o_orderdate) AS year, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2""",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from textloom.functions.text import clean_chars, cut_at_word
+from textloom.functions.gates import HARMFUL
+from textloom.functions.text import clean_chars, cut_at_word, sentences
 from textloom.functions.tokens import STOP_EN, STOP_TR, ascii_tokens, djb2
-from textloom.operators import dedupe, merge, pairs, sampling
+from textloom.operators import dedupe, intents, merge, pairs, sampling
 from textloom.plans import sql
 from textloom.plans.text_queries import table
 
@@ -54,7 +55,7 @@ def first_wins_text(spark, d):
 def ordered_source_merge(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "lang", "text")
     parts = [docs.where(F.col("lang") == x) for x in ("en", "fr", "de", "es")]
-    return merge.ordered_sources(parts, clean_chars(F.substring("text", 1, 40)), "doc_id").select("doc_id", "source_rank")
+    return merge.ordered_sources(parts, clean_chars(F.col("text")), "doc_id").select("doc_id", "source_rank")
 
 
 def keep_last(spark, d):
@@ -74,7 +75,7 @@ def budgeted_append(spark, d):
 
 
 def drift_diff(spark, d):
-    e = table(spark, d, "events").where("event_id < 5000").select("event_id", "user_id", "value")
+    e = table(spark, d, "events").select("event_id", "user_id", "value")
     after = e.where("event_id % 11 <> 0").withColumn("value", F.when(F.col("event_id") % 7 == 0, F.col("value") + 1).otherwise(F.col("value")))
     return merge.drift(e, after, "event_id", ["user_id", "value"])
 
@@ -101,7 +102,7 @@ def length_batches(spark, d):
 
 def encoded_pairs(spark, d):
     p = pairs.chat_pairs(table(spark, d, "conversations"))
-    codes = lambda c: F.transform(F.split(F.substring(clean_chars(F.col(c)), 1, 16), ""), lambda x: F.ascii(x))
+    codes = lambda c: F.transform(F.split(clean_chars(F.col(c)), ""), lambda x: F.ascii(x))
     ids, mask = pairs.encode_pair(codes("ctx"), codes("resp"))
     p = p.withColumns({"ids": ids, "mask": mask})
     return p.select("conv", "turn", F.size("ids").alias("n"), F.aggregate("mask", F.lit(0), lambda a, x: a + x).alias("n_target"), F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
@@ -112,14 +113,67 @@ def fingerprint(spark, d):
     return sampling.fingerprint(c.withColumn("o", F.col("conv_id") * 1000 + F.col("turn")), "o", ["role", "text"])
 
 
-QUERIES = {f.__name__: f for f in (chat_pairs, gated_chat_pairs, training_pairs, dedupe_documents, keyed_merge_events, merge_counts, first_wins_text, ordered_source_merge, keep_last, anti_join_ids, budgeted_append, drift_diff, coverage_sample, balanced_sample, group_split, length_batches, encoded_pairs, fingerprint)}
+def conversation_pairs(spark, d):
+    """Pairs of the allowed sources; every third conversation counts as one of them."""
+    p = pairs.chat_pairs(table(spark, d, "conversations"))
+    chats = p.select(F.col("ctx").alias("query"), F.array("resp").alias("answer"), F.when(F.col("conv") % 3 == 0, "seed").otherwise("other").alias("source"))
+    return pairs.conversation_pairs(chats, cap=None)
+
+
+def without_overlap(spark, d):
+    p = pairs.chat_pairs(table(spark, d, "conversations"))
+    return pairs.without_overlap(p.where("conv % 2 = 0"), p.where("conv % 2 = 1")).select("conv", "turn", "ctx")
+
+
+def key_sets(spark, d):
+    return merge.key_sets(table(spark, d, "documents").where("doc_id % 3 <> 0"), table(spark, d, "labels"), "doc_id")
+
+
+def _catalogue(spark, d):
+    """Documents as intents: language and a number as tag, the first line as pattern, sentences as responses."""
+    line = F.substring_index("text", "\n", 1)
+    tag = F.concat_ws(" ", F.lit("Könu"), "lang", (F.col("doc_id") % 20).cast("string"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("ord"), tag.alias("tag"), F.array(line, line).alias("patterns"), sentences(F.col("text")).alias("responses"))
+
+
+def intent_catalogue(spark, d):
+    c = intents.cleaned_catalogue(_catalogue(spark, d))
+    return c.select("ord", "tag", F.size("patterns").alias("n_patterns"), F.size("responses").alias("n_responses"), F.md5(F.array_join("patterns", "|")).alias("patterns"), F.md5(F.array_join("responses", "|")).alias("responses"))
+
+
+def sourced_dedupe(spark, d):
+    """Kept documents with their source: the first line as context, the text as response."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("ord"), F.col("text").alias("resp"), F.substring_index(F.regexp_replace("text", r"^\s+", ""), "\n", 1).alias("ctx"), "source")
+    return dedupe.dedupe_with_source(docs).select("ord", "source")
+
+
+QUERIES = {f.__name__: f for f in (conversation_pairs, without_overlap, key_sets, intent_catalogue, sourced_dedupe, chat_pairs, gated_chat_pairs, training_pairs, dedupe_documents, keyed_merge_events, merge_counts, first_wins_text, ordered_source_merge, keep_last, anti_join_ids, budgeted_append, drift_diff, coverage_sample, balanced_sample, group_split, length_batches, encoded_pairs, fingerprint)}
 
 _foreign = lambda c: f"(trim(coalesce({c}, '')) <> '' AND ({sql.latin_share(c)} < 0.5 OR {sql.stop_share(c, STOP_EN)} - {sql.stop_share(c, STOP_TR)} < -0.08))"
 _exam = lambda c: rf"(len(regexp_extract_all({sql.clean(c)}, '\( *\)')) >= 2 OR len(regexp_extract_all({sql.clean(c)}, '(?:^| )[a-e]\)')) >= 2)"
 _djb = lambda c: f"list_reduce(list_prepend(5381::BIGINT, list_transform(string_split({c}, ''), lambda c: unicode(c)::BIGINT)), lambda h, x: (h * 33 + x) & 2147483647)"
-_codes = lambda c: f"list_transform(string_split(substring({sql.clean(c)}, 1, 16), ''), lambda x: unicode(x))"
+_codes = lambda c: f"list_transform(string_split({sql.clean(c)}, ''), lambda x: unicode(x))"
+
+_squeeze = lambda c: f"regexp_replace(regexp_replace({c}, '{sql.SPACES}{{2,}}', ' ', 'g'), '^{sql.SPACES}+|{sql.SPACES}+$', '', 'g')"
 
 ORACLE_SQL = {
+    "conversation_pairs": f"""
+        WITH {sql.RAW_PAIRS}, c AS (SELECT substring({sql.clean('ctx')}, 1, 64) AS ctx, {sql.response('resp', 204)} AS resp FROM pairs WHERE conv % 3 = 0)
+        SELECT DISTINCT ctx, resp FROM c WHERE length(ctx) >= 6 AND length(resp) >= 6""",
+    "without_overlap": f"WITH {sql.RAW_PAIRS} SELECT conv, turn, ctx FROM pairs WHERE conv % 2 = 0 AND ctx NOT IN (SELECT ctx FROM pairs WHERE conv % 2 = 1)",
+    "key_sets": """
+        SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'right' WHEN l.doc_id IS NULL THEN 'left' ELSE 'both' END AS side
+        FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 3 <> 0) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id""",
+    "intent_catalogue": rf"""
+        WITH i AS (SELECT doc_id AS ord, 'konu ' || lang || ' ' || (doc_id % 20) AS tag, string_split(text, chr(10))[1] AS line, {sql.sentences('text')} AS rs FROM documents),
+             p AS (SELECT tag, ord, 1 AS pos, {sql.fold(f"regexp_replace(line, '^{sql.SPACES}+|{sql.SPACES}+$', '', 'g')")} AS v FROM i),
+             r0 AS (SELECT tag, ord, unnest(rs) AS r, generate_subscripts(rs, 1) AS pos FROM i),
+             r1 AS (SELECT tag, ord, pos, {_squeeze(f"regexp_replace(r, '{sql.FOREIGN}', ' ', 'g')")} AS v FROM r0),
+             r2 AS (SELECT *, {sql.fold('lower(v)')} AS k FROM r1 WHERE length(v) >= 5 AND NOT regexp_matches(v, '\(\s*d\.?\s*$|\(\s*$') AND len(regexp_split_to_array(v, '{sql.SPACES}+')) >= 3),
+             r3 AS (SELECT tag, ord, pos, v FROM r2 QUALIFY row_number() OVER (PARTITION BY ord, k ORDER BY pos) = 1),
+             pf AS (SELECT tag, v, min((ord, pos)) AS f FROM p WHERE v <> '' GROUP BY 1, 2), rf AS (SELECT tag, v, min((ord, pos)) AS f FROM r3 GROUP BY 1, 2),
+             pp AS (SELECT tag, count(*) AS n_patterns, md5(string_agg(v, '|' ORDER BY f)) AS patterns FROM pf GROUP BY 1), rr AS (SELECT tag, count(*) AS n_responses, md5(string_agg(v, '|' ORDER BY f)) AS responses FROM rf GROUP BY 1)
+        SELECT ord, tag, n_patterns, n_responses, patterns, responses FROM (SELECT tag, min(ord) AS ord FROM i GROUP BY 1) JOIN pp USING (tag) JOIN rr USING (tag) WHERE NOT regexp_matches(tag, '{"|".join(HARMFUL)}')""",
     "chat_pairs": f"WITH {sql.RAW_PAIRS} SELECT conv, turn, ctx, resp FROM pairs",
     "gated_chat_pairs": f"WITH {sql.RAW_PAIRS} SELECT conv, turn, ctx, resp FROM pairs WHERE NOT {_foreign('ctx')} AND NOT {_foreign('resp')} AND NOT {_exam('ctx')} AND NOT {_exam('resp')}",
     "training_pairs": f"""
@@ -135,7 +189,7 @@ ORACLE_SQL = {
         SELECT coalesce(sum(CASE WHEN u IS NULL THEN 1 ELSE 0 END), 0)::BIGINT AS added, coalesce(sum(CASE WHEN u IS NULL THEN n - 1 ELSE n END), 0)::BIGINT AS updated FROM n LEFT JOIN o ON user_id = u""",
     "first_wins_text": f"SELECT min(doc_id) AS doc_id FROM documents GROUP BY {sql.clean('text')}",
     "ordered_source_merge": f"""
-        WITH r AS (SELECT doc_id, list_position(['en', 'fr', 'de', 'es'], lang) - 1 AS source_rank, {sql.clean('substring(text, 1, 40)')} AS k FROM documents WHERE lang IN ('en', 'fr', 'de', 'es'))
+        WITH r AS (SELECT doc_id, list_position(['en', 'fr', 'de', 'es'], lang) - 1 AS source_rank, {sql.clean('text')} AS k FROM documents WHERE lang IN ('en', 'fr', 'de', 'es'))
         SELECT doc_id, source_rank FROM r WHERE k <> '' QUALIFY row_number() OVER (PARTITION BY k ORDER BY source_rank, doc_id) = 1""",
     "keep_last": """
         WITH g AS (SELECT user_id::VARCHAR AS key, min(event_id) AS place, max(event_id) AS event_id, round(arg_max(value, event_id), 6) AS value FROM events GROUP BY 1)
@@ -145,7 +199,7 @@ ORACLE_SQL = {
         WITH r AS (SELECT doc_id, coalesce(sum(strlen(text)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, (SELECT sum(strlen(text)) FROM documents) // 3 AS budget FROM documents)
         SELECT doc_id FROM r WHERE before < budget""",
     "drift_diff": """
-        WITH a AS (SELECT event_id, user_id, value FROM events WHERE event_id < 5000)
+        WITH a AS (SELECT event_id, user_id, value FROM events)
         SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 'removed' ELSE 'changed' END AS drift FROM a WHERE event_id % 11 = 0 OR event_id % 7 = 0""",
     "coverage_sample": f"""
         WITH {sql.RAW_PAIRS}, k AS (SELECT conv AS ctx, resp, md5('7:' || conv || ':' || resp) AS h FROM pairs),

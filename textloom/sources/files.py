@@ -12,7 +12,7 @@ CHUNK = "id string, title string, text string, patterns string, source string, a
 CHAT = "query string, soru string, source string, subreddit string, topic_id bigint, score int"
 INTENTS = "intents array<struct<tag:string, patterns:array<string>, responses:array<string>, tur:string>>"
 #: Header names of a spreadsheet's text column (fixed values).
-TEXT_HEADERS = ("text", "metin", "soru", "query", "mesaj", "message", "cumle", "sentence", "icerik", "content")
+TEXT_HEADERS = ("metin", "soru", "mesaj", "girdi", "cumle", "yazi", "text", "message", "input", "icerik")
 
 
 def _with_rejects(spark: SparkSession, paths: str | list[str], schema: str, sanity: str) -> tuple[DataFrame, DataFrame]:
@@ -39,10 +39,14 @@ def answers(raw: Column) -> Column:
 def scan_chats(spark: SparkSession, paths: str | list[str], defaults: bool = False) -> DataFrame:
     """Chat records with a question: ``ord, query, answer, source, subreddit, topic_id, score``.
 
-    Rows come in the order of the paths given, then of lines; lines that are no JSON object go.
+    Rows come in the order of the paths given, then of lines; lines that are no JSON object go,
+    as do paths where there is nothing.
     With ``defaults`` an answer is required and missing source, subreddit and score are filled.
     """
-    listed = [paths] if isinstance(paths, str) else list(paths)
+    listed = existing_paths(spark, [paths] if isinstance(paths, str) else list(paths))
+    if not listed:
+        empty = "ord struct<path_rank:int, file:string, line:bigint>, query string, answer array<string>, source string, subreddit string, topic_id bigint, score int"
+        return spark.createDataFrame([], empty)
     parts = [spark.read.text(p).select("value", F.lit(k).alias("path_rank"), F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line")) for k, p in enumerate(listed)]
     lines = parts[0]
     for part in parts[1:]:
@@ -55,6 +59,24 @@ def scan_chats(spark: SparkSession, paths: str | list[str], defaults: bool = Fal
     return rows.select(F.struct("path_rank", "file", "line").alias("ord"), "query", "answer", "source", "subreddit", "topic_id", "score")
 
 
+def existing_paths(spark: SparkSession, paths: list[str]) -> list[str]:
+    """The paths (or globs) that name something, in order."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        if at.getFileSystem(conf).globStatus(at):
+            out.append(path)
+    return out
+
+
+def discover(spark: SparkSession, folder: str, pattern: str = "chatgrow*.jsonl") -> list[str]:
+    """Files of a folder that match a glob, sorted by name."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{pattern}")
+    return sorted(s.getPath().toString() for s in at.getFileSystem(conf).globStatus(at) or [])
+
+
 def scan_intents(spark: SparkSession, path: str) -> DataFrame:
     """The nested intents document as ``ord, tag, patterns, responses, kind``."""
     doc = spark.read.schema(INTENTS).option("multiLine", True).json(path)

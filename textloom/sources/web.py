@@ -16,7 +16,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 MAX_PAGES = 60
-SKIPPED_AUTHORS = frozenset(("automoderator", "[deleted]", "system", "discobot"))
+#: Authors whose posts are left out, of threads and of forums (fixed values).
+SKIPPED_AUTHORS = frozenset(("automoderator", "[deleted]", "lss_this", "gezi_bot"))
+SKIPPED_POSTERS = frozenset(("system", "discobot"))
 
 
 def http_json(url: str, params: dict, retries: int = 3, wait: float = 5.0) -> dict:
@@ -72,7 +74,7 @@ class _ForumReader(_Reader):
             listing = get(f"{base}/latest.json", {"page": page, "order": self.options.get("order", "posts")}).get("topic_list", {})
             for topic in listing.get("topics", []):
                 posts = get(f"{base}/t/{topic['id']}.json", {}).get("post_stream", {}).get("posts", [])
-                texts = [p.get("cooked") or "" for p in posts if str(p.get("username", "")).lower() not in SKIPPED_AUTHORS]
+                texts = [p.get("cooked") or "" for p in posts if str(p.get("username", "")).lower() not in SKIPPED_POSTERS]
                 yield (int(topic["id"]), topic.get("title"), texts)
                 seen += 1
                 if seen >= want:
@@ -146,6 +148,116 @@ class ExtractSource(DataSource):
         return _ExtractReader(dict(self.options))
 
 
+def continued(get: Callable[[str, dict], dict], url: str, params: dict, token: str, pages: int) -> Iterator[dict]:
+    """Answers of a paged action API: each names where the next one begins, at most ``pages`` of them."""
+    more: dict = {}
+    for _ in range(pages):
+        answer = get(url, {**params, **more, "format": "json"}) or {}
+        yield answer
+        at = answer.get("continue", {}).get(token)
+        if not at:
+            return
+        more = {token: at}
+
+
+class _TitleReader(_Reader):
+    """Titles of categories (a partition each), of a search, or at random."""
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        o, get = self.options, transport(self.options.get("transport"))
+        kind, limit = o.get("kind", "category"), int(o.get("limit", "50"))
+        if kind == "random":
+            params, token, pages = {"list": "random", "rnnamespace": 0, "rnlimit": limit}, "rncontinue", 1
+        elif kind == "search":
+            params, token, pages = {"list": "search", "srsearch": partition.value, "srlimit": limit}, "sroffset", 1
+        else:
+            params = {"list": "categorymembers", "cmtitle": partition.value, "cmlimit": limit, **({"cmtype": "page"} if o.get("works") else {"cmnamespace": 0})}
+            token, pages = "cmcontinue", int(o.get("pages", "6"))
+        for answer in continued(get, o["url"], {"action": "query", **params}, token, pages):
+            for page in answer.get("query", {}).get(params["list"], []):
+                yield (partition.value, page["title"])
+
+
+class TitleSource(DataSource):
+    """``spark.read.format("titles").option("kind", "category" | "search" | "random").option("items", "a|b")``."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "titles"
+
+    def schema(self) -> str:
+        return "item string, title string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _TitleReader(dict(self.options))
+
+
+class _SummaryReader(_Reader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        data = transport(self.options.get("transport"))(f"{self.options['url']}/{partition.value.replace(' ', '_')}", {}) or {}
+        ambiguous = self.options.get("ambiguous", "anlam ayrımı") in (data.get("description") or "").lower()
+        yield (partition.value, data.get("title") or partition.value, None if ambiguous else data.get("extract"))
+
+
+class SummarySource(DataSource):
+    """Page summaries, one request and partition for each title; a page that only lists meanings has none."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "summaries"
+
+    def schema(self) -> str:
+        return "item string, title string, summary string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _SummaryReader(dict(self.options))
+
+
+class _WikitextReader(_Reader):
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        params = {"action": "query", "prop": "revisions", "rvprop": "content", "rvslots": "main", "titles": partition.value, "redirects": 1, "format": "json"}
+        pages = transport(self.options.get("transport"))(self.options["url"], params).get("query", {}).get("pages", {})
+        text = next((p["revisions"][0]["slots"]["main"]["*"] for p in pages.values() if p.get("revisions")), "")
+        yield (partition.value, text)
+
+
+class WikitextSource(DataSource):
+    """The wiki text of works, one request and partition for each title."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "wikitext"
+
+    def schema(self) -> str:
+        return "title string, wikitext string"
+
+    def reader(self, schema) -> DataSourceReader:
+        return _WikitextReader(dict(self.options))
+
+
+def resolve_category(names: list[str], wanted: str, key: Callable[[str], str]) -> str | None:
+    """Of category names the one with the wanted key, else the first of which one begins with the other's key."""
+    q = key(wanted)
+    if not q:
+        return None
+    same = next((n for n in names if key(n) == q), None)
+    return same or next((n for n in names if len(key(n)) > 3 and (key(n).startswith(q) or q.startswith(key(n)))), None)
+
+
+def patient_json(url: str, params: dict, retries: int = 6, sleep: Callable[[float], None] = time.sleep, get: Callable[[str, dict], dict] | None = None) -> dict:
+    """GET with waits of 5 * 2**k + 1 seconds after 429 and server errors; other client errors are raised at once."""
+    ask = get or (lambda u, p: http_json(u, p, retries=0))
+    for attempt in range(retries):
+        try:
+            return ask(url, params)
+        except OSError as failed:
+            code = getattr(failed, "code", 0)
+            if attempt + 1 == retries or (code and code != 429 and code < 500):
+                raise
+            sleep(5 * 2**attempt + 1 if code else 2 * (attempt + 1))
+    return {}
+
+
 def register(spark) -> None:
-    for source in (ForumSource, ThreadSource, ExtractSource):
+    for source in (ForumSource, ThreadSource, ExtractSource, TitleSource, SummarySource, WikitextSource):
         spark.dataSource.register(source)

@@ -1,8 +1,8 @@
 """Scratch tables in the folder that driver and executors share.
 
 Lineage is cut with Parquet tables below ``spark.checkpoint.dir``; they survive the loss of
-any executor and are read back as ordinary scans. Only where that setting is absent (tests,
-a notebook) is a local folder made and set.
+any executor and are read back as ordinary scans. Only where that setting is absent and the
+master is local (tests, a notebook) is a local folder made and set.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ def shared_root(spark: SparkSession) -> str:
     held = spark.sparkContext._jsc.sc().getCheckpointDir()
     if held.isDefined():
         return held.get().rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="textloom-"))
     return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -19,11 +20,15 @@ def chunks(texts: DataFrame, text: str) -> DataFrame:
     return each.select(F.substring(F.sha1("text"), 1, 12).alias("id"), F.substring("text", 1, 120).alias("title"), "text")
 
 
-def ingest_shards(spark: SparkSession, source: str, schema: str, text: str, corpus: str, checkpoint: str, files_per_batch: int = 8, max_rows: int | None = None) -> StreamingQuery:
+def ingest_shards(spark: SparkSession, source: str, schema: str, text: str, corpus: str, checkpoint: str, files_per_batch: int = 8, byte_target: int | None = None) -> StreamingQuery:
     """Append the chunks of new shards to a corpus, each id once; runs until no shard is left.
 
     Progress is in the checkpoint; a batch that is run again finds its ids in the corpus already.
+    With ``byte_target`` the job ends behind the batch that reaches it: batches are whole shards
+    (``files_per_batch`` bounds them), so no row of a shard that was taken is lost, and shards
+    that were not taken come in the next run.
     """
+    taken = [0]
 
     def append(batch: DataFrame, _: int) -> None:
         fresh = chunks(batch, text).dropDuplicates(["id"])
@@ -33,12 +38,40 @@ def ingest_shards(spark: SparkSession, source: str, schema: str, text: str, corp
         except Exception as missing:  # the first batch finds no corpus
             if "PATH_NOT_FOUND" not in str(missing):
                 raise
-        (fresh.limit(max_rows) if max_rows else fresh).write.mode("append").parquet(corpus)
+        if byte_target is not None and taken[0] >= byte_target:
+            raise TargetReached(f"{taken[0]} bytes of {byte_target}")  # the batch is not taken: the checkpoint stays before it
+        size = Observation()
+        fresh.observe(size, F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).write.mode("append").parquet(corpus)
+        taken[0] += size.get["bytes"]
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+class TargetReached(Exception):
+    """An ingest ended because it had taken enough; what is left comes in the next run."""
+
+
+def grow(step, wanted: int = 8, per_run: int = 400, known: int = 0, total: int = 20_000, minutes: float = 0.0, clock=time.monotonic) -> tuple[int, int]:
+    """Rounds of ``step(count, intents)`` until the run's or the time's budget is used: ``(added, updated)`` in all.
+
+    ``step`` makes up to ``count`` new intents, none if ``intents`` is False (the catalogue has
+    ``total``, and only the corpus grows), and returns ``(added, updated)`` or None if it has no
+    candidates. Without ``minutes`` there is one round.
+    """
+    added = updated = 0
+    began = clock()
+    while not per_run or added < per_run:
+        count = min(wanted, per_run - added) if per_run else wanted
+        made = step(max(1, count), known + added < total)
+        if made is None:
+            break
+        added, updated = added + made[0], updated + made[1]
+        if minutes <= 0 or clock() - began >= minutes * 60:
+            break
+    return added, updated
+
+
 class FixedWindowLimiter(StatefulProcessor):
     """``limit`` events in ``seconds`` from a key's first event; then a new window begins."""
 
