@@ -20,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.batches import map_batches
 from textloom.llm.char_classes import as_known
 
 
@@ -182,4 +183,4 @@ def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc
         bpe.forget()
 
     pair = docs.select(docs[id_col], F.col(text_col).cast("string"))
-    return pair.mapInArrow(run, f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")
+    return map_batches(pair, run, f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

@@ -75,13 +75,17 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -40, 40)))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple]:
-    """At most ``max_rows`` labelled texts, the same ones at each run: by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_cols: list[str], max_rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """At most ``max_rows`` labelled texts ``id, y0, y1, ..., body``, the same ones at each run: by a hash of the id.
 
-    Labels with a null id or null rating are left out, and of several for an id one stays. The
-    join takes the sampled labels only, which are few, to the documents.
+    Labels with a null id or null rating are left out; of several ratings of an id the smallest
+    counts, of several texts of an id the smallest. The join takes the sampled labels only,
+    which are few, to the documents.
     """
-    rated = labels.select(labels[id_col].alias("id"), *[labels[c].alias(f"y{k}") for k, c in enumerate(label_cols)]).dropna().dropDuplicates(["id"])
+    ys = [f"y{k}" for k in range(len(label_cols))]
+    rated = labels.select(labels[id_col].alias("id"), *[labels[c].alias(y) for y, c in zip(ys, label_cols)]).dropna()
+    rated = rated.groupBy("id").agg(F.min(F.struct(*ys)).alias("y")).select("id", "y.*")
     picked = rated.orderBy(F.xxhash64(F.lit("sample"), F.col("id")), "id").limit(max_rows)
     texts = docs.select(docs[id_col].alias("doc"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("body"))
-    return texts.join(F.broadcast(picked), F.col("doc") == F.col("id"))
+    found = texts.join(F.broadcast(picked), F.col("doc") == F.col("id"))
+    return found.groupBy("id", *ys).agg(F.min("body").alias("body"))

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.batches import map_batches
 from textloom.llm.hashed_linear import Rows, adam, labelled_sample, sigmoid
 
 #: Hashed dimensions, and the bound of the labelled sample the model is fitted on.
@@ -154,7 +155,7 @@ def train_quality(docs: DataFrame, labels: DataFrame, grade: str, n_grades: int,
             made = [features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array([i.astype("<i4").tobytes() for i, _ in made], pa.binary()), pa.array([v.astype("<f4").tobytes() for _, v in made], pa.binary()), batch.column(2).cast(pa.string())], ["grade", "i", "v", "id"])
 
-    found = sample.mapInArrow(run, "grade int, i binary, v binary, id string").collect()
+    found = map_batches(sample, run, "grade int, i binary, v binary, id string").collect()
     found.sort(key=lambda r: (r["id"], bytes(r["i"])))
     rows = Rows([(np.frombuffer(r["i"], "<i4"), np.frombuffer(r["v"], "<f4")) for r in found], SIZE)
     return fit_ordinal(rows, np.array([r["grade"] for r in found]), n_grades)
@@ -180,7 +181,7 @@ def grade_documents(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, keep_grade - 1])], [id_col, "expected_grade", "tail"])
         _forget()
 
-    scored = docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, expected_grade double, tail double")
+    scored = map_batches(docs.select(docs[id_col], docs[text_col].cast("string")), run, f"`{id_col}` {id_type}, expected_grade double, tail double")
     return scored.withColumn("kept", F.col("tail") >= keep_tail)
 
 
@@ -200,4 +201,4 @@ def selected(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep_
             yield batch.filter(pa.array(keep, pa.bool_()))
         _forget()
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

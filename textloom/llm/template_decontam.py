@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.batches import map_batches
+
 WINDOW, COVERAGE, LITERALS = 8, 0.5, 0.5
 BLOCK_WINDOWS = 200_000
 #: Units that a number may carry, and number words.
@@ -222,7 +224,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 columns = list(zip(*rows)) if rows else [[]] * 6
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "item_id", "n_windows", "coverage", "verbatim", "n_changed"])
 
-        part = pair.mapInArrow(run, schema)
+        part = map_batches(pair, run, schema)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], schema)
 
@@ -255,5 +257,5 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text"
                 clean = [next(held.value.hits(str(text.as_py() or ""), coverage), None) is None for text in batch.column(at)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        out = out.mapInArrow(run, docs.schema)
+        out = map_batches(out, run, docs.schema)
     return out

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.batches import map_batches
 from textloom.llm.char_classes import char_class
 
 #: Unicode White_Space, which the split pattern's \s means (fixed values).
@@ -328,5 +329,5 @@ def count_tokens(docs: DataFrame, spec: bytes, limit: int = 512, id_col: str = "
 
     body = F.col(text_col).cast("string")
     size = F.coalesce(F.octet_length(body), F.lit(0)).cast("long")
-    counted = docs.select(docs[id_col], body.alias("body"), size.alias("n_bytes")).mapInArrow(run, f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint")
+    counted = map_batches(docs.select(docs[id_col], body.alias("body"), size.alias("n_bytes")), run, f"`{id_col}` {id_type}, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.batches import map_batches
+
 MAX_ROWS, TREES, DEPTH, BINS, RATE, BLOCK_AT = 5_000, 40, 4, 32, 0.2, 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("length", "host_length", "path_length", "query_length", "depth", "host_labels", "digit_ratio", "entropy", "parameters", "hyphens", "fragment", "suffix1_rate", "suffix1_count", "suffix2_rate", "suffix2_count", "host_rate", "host_count")
@@ -209,7 +211,7 @@ def all_suffix_statistics(rows: DataFrame) -> SuffixStatistics:
             columns = [pa.array(names, pa.string()), pa.array([len(y), *part.total.values()], pa.int64()), pa.array([sum(y), *(part.blocked[s] for s in part.total)], pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["suffix", "total", "blocked"])
 
-    counted = rows.select("u", "y").mapInArrow(run, "suffix string, total long, blocked long").groupBy("suffix").agg(F.sum("total").alias("total"), F.sum("blocked").alias("blocked")).collect()
+    counted = map_batches(rows.select("u", "y"), run, "suffix string, total long, blocked long").groupBy("suffix").agg(F.sum("total").alias("total"), F.sum("blocked").alias("blocked")).collect()
     share = next((r["blocked"] / r["total"] for r in counted if r["suffix"] is None and r["total"]), 0.0)
     known = [r for r in counted if r["suffix"] is not None]
     return SuffixStatistics({r["suffix"]: r["blocked"] for r in known}, {r["suffix"]: r["total"] for r in known}, share)
@@ -243,7 +245,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], model: Boosted, id_col: str
             columns = [batch.column(0), *batch.columns[2:5], pa.array(verdicts, pa.string()), pa.array(p, pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, [id_col, "host", "path", "rule", "verdict", "block_probability"])
 
-    return known.mapInArrow(run, f"`{id_col}` {id_type}, host string, path string, rule string, verdict string, block_probability double")
+    return map_batches(known, run, f"`{id_col}` {id_type}, host string, path string, rule string, verdict string, block_probability double")
 
 
 def rule_labels(pages: DataFrame, rules: list[Rule], url_col: str = "url") -> DataFrame:

@@ -28,6 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.batches import map_batches
 from textloom.storage import materialise, scratch_path
 
 BLOCK_LINES, LEVEL, BROADCAST_ROWS = 512, 1, 100_000
@@ -115,7 +116,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
             if out is not None:
                 out.close()
 
-    return materialise(typed.mapInArrow(run, "key string, file string, offset bigint, length bigint"), "warc-captures")
+    return materialise(map_batches(typed, run, "key string, file string, offset bigint, length bigint"), "warc-captures")
 
 
 class CaptureIndex:
@@ -162,7 +163,7 @@ class CaptureIndex:
                 yield pa.RecordBatch.from_arrays([pa.array([directory[0][0]]), pa.array([name])], ["first", "name"])
 
         ordered = captures.select("key", "file", "offset", "length").repartitionByRange("key").sortWithinPartitions("key")
-        shards = materialise(ordered.mapInArrow(run, "first string, name string"), "warc-shards")
+        shards = materialise(map_batches(ordered, run, "first string, name string"), "warc-shards")
         return CaptureIndex(folder, [(r["first"], r["name"]) for r in shards.collect()])
 
 
@@ -236,9 +237,9 @@ def read_captures(lookups: DataFrame, index: CaptureIndex, id_col: str = "page_i
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
 
-    wanted = lookups.select(lookups[id_col], lookups[url_col].cast("string")).mapInArrow(keys, "key string").distinct()
+    wanted = map_batches(lookups.select(lookups[id_col], lookups[url_col].cast("string")), keys, "key string").distinct()
     wanted = wanted.repartitionByRange("key").sortWithinPartitions("key")
-    return wanted.mapInArrow(run, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
+    return map_batches(wanted, run, "page_id string, payload_bytes bigint, payload_digest string, record_type string, refers_to string")
 
 
 def archive_and_read(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0) -> DataFrame:
