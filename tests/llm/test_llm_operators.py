@@ -292,7 +292,7 @@ def test_quality_held_out(spark, empty):
 
 def test_toxicity_held_out(spark, empty):
     rng = random.Random(9)
-    bad = [w for ws in toxicity_chain.CATEGORY_WORDS.values() for w in ws]
+    bad = [f"{a}{b}" for a in ("grum", "vilk", "skoz") for b in ("a", "esk", "ul")]
     texts = []
     for k in range(200):
         words = prose(rng, rng.randint(20, 200)).split()
@@ -310,6 +310,70 @@ def test_toxicity_held_out(spark, empty):
     assert not any(r["toxic"] for r in toxicity_chain.score_toxicity(docs, nothing).collect())
 
 
+def test_facets_are_found_in_the_texts():
+    import numpy as np
+
+    rng = random.Random(19)
+    kinds = [["alpha", "arrow"], ["beta", "bravo"], ["gamma", "golf"]]
+    texts, y = [], []
+    for k in range(600):
+        words = prose(rng, 40).split()
+        if k % 4 == 0:
+            words += kinds[k // 4 % 3]
+        texts.append(" ".join(words))
+        y.append(int(k % 4 == 0))
+    rows = Rows([(i, np.ones(len(i))) for i in map(toxicity_chain.features, texts)], toxicity_chain.SIZE)
+    found = toxicity_chain.facets(rows, np.array(y))
+    which = [tuple(found[k]) for k in range(0, 600, 4)]
+    assert not found[np.array(y) == 0].any() and all(sum(w) == 1 for w in which)
+    assert all(which[k] == which[k % 3] for k in range(len(which))) and len(set(which[:3])) == 3
+    assert not toxicity_chain.facets(rows, np.zeros(600)).any()
+
+
+def test_chain_of_rated_categories(spark):
+    """Rated categories: the chain equals its definition computed row by row, and later categories use earlier ones."""
+    import numpy as np
+
+    rng = random.Random(20)
+    texts = [" ".join([prose(rng, 30), *(["grum"] if k % 3 == 0 else []), *(["skoz"] if k % 5 == 0 else [])]) for k in range(300)]
+    labels = [(k, int(k % 3 == 0), int(k % 5 == 0), int(k % 3 == 0 or k % 5 == 0)) for k in range(300)]
+    frame = spark.createDataFrame(labels + [(0, 0, 0, 0), (None, 1, 1, 1), (7, None, 0, 0)], "doc_id long, a int, b int, toxic int")
+    docs = docs_of(spark, texts)
+    model = toxicity_chain.train_toxicity(docs.unionByName(docs), frame, category_cols=("a", "b"))
+    assert model.names == ("a", "b", "toxic") and model.earlier[2, :2].max() > 0
+    got = {r["doc_id"]: r for r in toxicity_chain.score_toxicity(docs, model).collect()}
+    for k in range(0, 300, 7):
+        p = []
+        for c in range(3):
+            z = sum(model.words[c][i] for i in toxicity_chain.features(texts[k])) + sum(w * q for w, q in zip(model.earlier[c], p)) + model.bias[c]
+            p.append(1 / (1 + np.exp(-z)))
+        assert [got[k][f"p_{n}"] for n in model.names] == pytest.approx(p, abs=1e-4) and got[k]["toxic"] == (k % 3 == 0 or k % 5 == 0)
+
+
+def test_ordinal_likelihood_by_brute_force():
+    """Among small changes of the fitted weights and thresholds none has a better likelihood."""
+    import numpy as np
+
+    rng = np.random.default_rng(21)
+    x = rng.normal(size=(200, 3))
+    grades = np.clip(np.digitize(x @ [1.0, -0.5, 0.0] + rng.logistic(size=200), [-1, 0.5]), 0, 2)
+    rows = Rows([(np.arange(3), r) for r in x], 3)
+    model = ordinal_quality.fit_ordinal(rows, grades, 3, steps=3000)
+
+    def loss(w, t):
+        tail = 1 / (1 + np.exp(-((x @ w)[:, None] - np.asarray(t)[None, :])))
+        p = np.column_stack([np.ones(200), tail]) - np.column_stack([tail, np.zeros(200)])
+        return -np.log(p[np.arange(200), grades]).mean() + 0.5e-4 * w @ w
+
+    best = loss(model.weights, model.thresholds)
+    for k in range(5):
+        for step in (0.05, -0.05):
+            w, t = model.weights.copy(), model.thresholds.copy()
+            (w if k < 3 else t)[k % 3] += step
+            assert loss(w, t) > best - 1e-6
+    assert model.tails(np.array([0.3])).shape == (1, 2)
+
+
 # --- URLs and archives ------------------------------------------------------------------------------
 
 
@@ -333,6 +397,32 @@ def test_url_rules_and_trees(spark):
     assert url_trees.judge_urls(pages.limit(0), rules, model).count() == 0
 
 
+def test_trees_split_as_brute_force_would():
+    """The first split of a tree is the best of all splits at the bounds, and leaves are Newton steps."""
+    import numpy as np
+
+    rng = np.random.default_rng(22)
+    x = rng.normal(size=(120, 3))
+    g, h = rng.normal(size=120), rng.uniform(0.1, 0.3, size=120)
+    bounds = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, 9)[1:-1])) for f in range(3)]
+    binned = np.stack([np.searchsorted(b, x[:, f], side="left") for f, b in enumerate(bounds)], axis=1)
+    tree = url_trees._grow(x, binned, bounds, g, h, 1, 0.3)
+    gain = {(f, b): sum(g[m].sum() ** 2 / (h[m].sum() + 1) for m in (x[:, f] <= b, x[:, f] > b)) for f in range(3) for b in bounds[f]}
+    f, b = max(gain, key=gain.get)
+    left = x[:, f] <= b
+    assert (tree.feature[0], tree.bound[0]) == (f, b)
+    assert tree.value.tolist() == pytest.approx([-0.3 * g[m].sum() / (h[m].sum() + 1) for m in (left, ~left)])
+    assert tree.predict(x).tolist() == pytest.approx([tree.value[0] if m else tree.value[1] for m in left])
+
+
+def test_long_and_repeated_urls(spark):
+    rules = [url_trees.Rule("com/en/", "block"), url_trees.Rule("net/de/", "allow")]
+    long = "http://a.com/en/" + "x" * 200_000
+    pages = spark.createDataFrame([(1, long, "a"), (1, long, "b"), (2, "http://" + "h." * 5_000 + "com/en/", "c"), (None, None, "d")], "page_id long, url string, verdict string")
+    got = url_trees.judge_urls(pages, rules, url_trees.train_urls(url_trees.rule_labels(pages, rules))).collect()
+    assert sorted((r["page_id"] or 0, r["rule"] or "", r["verdict"]) for r in got) == [(0, "", "allow"), (1, "com/en/", "block"), (1, "com/en/", "block"), (2, "com/en/", "block")]
+
+
 def test_archives_round_trip(spark):
     pages = [(k, f"https://www.h{k % 4}.example:80/a b/{k}?q=é", "" if k % 9 == 0 else f"<p>{'body ' * (k % 7)}</p>\r\n\r\nx") for k in range(60)] + [(100, None, None), (101, "no scheme", "own"), (None, "http://n.example/", "only null")]
     frame = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(5)

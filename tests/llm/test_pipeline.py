@@ -28,3 +28,23 @@ def test_stages(spark, tmp_path):
     assert counts == [44, 42, 41, 40]
     out = queries.QUERIES["pipeline"](spark, str(tmp_path))
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(40)) and out.where("not decoded_ok").isEmpty()
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, repeated rows, columns with clashing names, and empty tables."""
+    rng = random.Random(2)
+    long = "".join(rng.choice("abcdefgh  .") for _ in range(300_000))
+    texts = [None, "", " ", "a", "a", "a", long, long + " x", "Tom has 3 apples.", "Tom has 3 apples."]
+    rows = [(k // 2 if k else None, t, None, None, None, "id", 1, "g0") for k, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id string, node int, words string"
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, 1, 0) for k in range(5)] + [(None, 0, 1), (2, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, None), (2, ""), (3, "What is the capital city of the country that lies north of here?")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    expected = {"quality": 10, "exact_dedup": 6, "near_dedup": 6, "decontaminate": 10, "encode": 10}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == expected[name], name
+        assert name == "encode" or out.columns == docs.columns
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+    assert queries.QUERIES["pipeline"](spark, str(tmp_path)).count() == 5

@@ -35,6 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.batches import map_batches
 from textloom.llm.bit_filter import bit_filter, may_contain, surely_absent
 from textloom.llm.components import components
 from textloom.storage import materialise
@@ -234,7 +235,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(columns, kinds))], ["id", "node", "size", "bands", "short"])
         _WORDS.clear()
 
-    return rows.mapInArrow(run, f"id {id_type}, node binary, size int, bands array<bigint>, short array<bigint>")
+    return map_batches(rows, run, f"id {id_type}, node binary, size int, bands array<bigint>, short array<bigint>")
 
 
 def _short_prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -251,7 +252,7 @@ def _short_prefixes(nodes: DataFrame, threshold: float) -> DataFrame:
                 keys.append(rarest_first(h, held.value)[: prefix_length(len(h), threshold)].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["node", "size", "keys"])
 
-    return short.mapInArrow(run, "node binary, size int, keys array<bigint>").select(F.explode("keys").alias("key"), "node", "size")
+    return map_batches(short, run, "node binary, size int, keys array<bigint>").select(F.explode("keys").alias("key"), "node", "size")
 
 
 def _sizes_fit(threshold: float) -> Column:
@@ -277,7 +278,7 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFr
         slot = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int64()), pa.array(counts[slot])], ["slot", "n"])
 
-    held = texts.sparkSession.sparkContext.broadcast(_slot_counts(left.select("words").mapInArrow(count, "slot bigint, n bigint")))
+    held = texts.sparkSession.sparkContext.broadcast(_slot_counts(map_batches(left.select("words"), count, "slot bigint, n bigint")))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,7 +302,7 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array(keys), *same, pa.array(pos, pa.int32()), pa.array(np.concatenate(own)), before], ["key", "node", "label", "size", "pos", "own", "before"])
         _WORDS.clear()
 
-    every = materialise(left.mapInArrow(prefixes, "key bigint, node binary, label binary, size int, pos int, own boolean, before array<bigint>"), "omh-prefixes")
+    every = materialise(map_batches(left, prefixes, "key bigint, node binary, label binary, size int, pos int, own boolean, before array<bigint>"), "omh-prefixes")
     tag = F.xxhash64("label")
     mixed = every.groupBy("key").agg(F.min(tag).alias("lo"), F.max(tag).alias("hi"), F.max("own").alias("own")).where("lo <> hi and own").select("key")
     mixed = materialise(mixed, "omh-mixed")
@@ -322,7 +323,7 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFr
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(bits[:, k]) for k in range(SIGNS))], ["node", *names])
         _WORDS.clear()
 
-    signed = materialise(left.mapInArrow(signs, "node binary, " + ", ".join(f"{g} bigint" for g in names)), "omh-signs")
+    signed = materialise(map_batches(left, signs, "node binary, " + ", ".join(f"{g} bigint" for g in names)), "omh-signs")
     for side in "ab":
         pairs = pairs.join(signed.select(F.col("node").alias(side), *[F.col(g).alias(f"{side}{g}") for g in names]), side)
     differ = reduce(lambda x, g: x + F.bit_count(F.col(f"a{g}").bitwiseXOR(F.col(f"b{g}"))), names, F.lit(0))
@@ -348,7 +349,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
         _WORDS.clear()
 
     joined = pairs.join(right, "b").join(left, "a").select("a", "b", "words_a", "words_b")
-    return joined.mapInArrow(run, "a binary, b binary")
+    return map_batches(joined, run, "a binary, b binary")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -357,7 +358,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the smallest id of the class, ``kept`` marks its row, ``class_size`` counts
     rows, ``node`` (hex) is shared by texts of the same words. A null text is empty; a text
     without words is only near to an equal text. A null id is used only for a class without
-    other ids. Rows that repeat id and text are the same document and marked alike. An empty
+    other ids. Rows that repeat id and text are the same document and marked alike; of different
+    texts with the smallest id one is kept. An empty
     table gives no rows; further columns are ignored.
     """
     rows = materialise(_sketch(docs, id_col, text_col, threshold), "omh-rows")
@@ -414,12 +416,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spread = spread.withColumn("label", F.coalesce("label", "node"))
     if joined is not None:
         spread = spread.join(joined, "label", "left").withColumn("label", F.coalesce("to_label", "label")).drop("to_label")
-    classes = spread.groupBy("label").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size")).where("class_size > 1")
-    known = spread.join(classes, "label").select("node", "class_id", "class_size")
+    head = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "node")))["node"], F.min("node"))
+    classes = spread.groupBy("label").agg(F.min("id").alias("class_id"), head.alias("head"), F.sum("n").alias("class_size")).where("class_size > 1")
+    known = spread.join(classes, "label").select("node", "class_id", "class_size", (F.col("node") == F.col("head")).alias("first"))
     out = rows.select("id", "node").join(known, "node", "left")
     own = F.when(F.col("class_size").isNull(), F.col("id")).otherwise(F.col("class_id"))
-    out = out.select("id", own.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.lower(F.hex("node")).alias("node"))
-    return out.select(F.col("id").alias(id_col), "class_id", "class_size", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"), "node")
+    kept = F.col("id").eqNullSafe(own) & F.coalesce("first", F.lit(True))
+    out = out.select("id", own.alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), kept.alias("kept"), F.lower(F.hex("node")).alias("node"))
+    return out.select(F.col("id").alias(id_col), "class_id", "class_size", "kept", "node")
 
 
 def _joined_components(found: DataFrame, labels: DataFrame) -> DataFrame:

@@ -94,4 +94,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size,
                doc_id = min(doc_id) OVER (PARTITION BY body) AS kept, sha256(body) AS text_sha256
         FROM t""",
+    # base32 of the SHA-1: each five hex digits are twenty bits, four letters of five bits
+    "op9_warc_index": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS least FROM pages)
+        SELECT page_id, n::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substring('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substring(h, (i // 4 * 5 + 1)::INT, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::INT, 1)), '') AS payload_digest,
+               CASE WHEN page_id = least THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> least THEN least END AS refers_to
+        FROM p""",
 }

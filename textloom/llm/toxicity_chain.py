@@ -3,6 +3,11 @@
 Categories are predicted one after the other; each model sees the text's hashed words and the
 probabilities of the categories before it. While training, those probabilities are out-of-fold
 predictions, so later models learn from what earlier ones are worth on unseen texts.
+
+Categories are columns of the ratings. Where the ratings only say whether a text is toxic as a
+whole, categories are facets found in the rated texts: the words that tell toxic texts from
+others most surely are put together by the texts they share, and a toxic text has a facet if it
+has one of its words.
 """
 
 from __future__ import annotations
@@ -18,17 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.batches import map_batches
 from textloom.llm.hashed_linear import Rows, accelerated, labelled_sample, largest_eigenvalue, sigmoid
 
 SIZE, MAX_ROWS, FOLDS, THRESHOLD = 1 << 18, 4_000, 3, 0.65
 MIN_DF, PREFIXES = 8, (5, 7)
-#: Categories in the chain's order and the words that, in a text rated toxic, mark them (fixed values).
-CATEGORY_WORDS = {
-    "insult": ("idiot", "moron", "stupid", "loser", "clown", "fool", "dumb"),
-    "contempt": ("trash", "scum", "worthless", "garbage", "filth"),
-    "disgust": ("disgusting", "pathetic", "revolting", "vile"),
-}
-CATEGORIES = (*CATEGORY_WORDS, "toxic")
+#: Facets looked for where there are no category ratings, words that may mark them, and how sure these must be (standard errors).
+FACETS, MARKERS, SURE = 3, 30, 4.0
+#: Log odds under which a word's feature is left out of a model.
+LEAST_ODDS = 0.15
 _WORDS = re.compile(r"\w+").findall
 
 
@@ -52,11 +55,12 @@ def features(text: str) -> np.ndarray:
 
 
 class Chain(NamedTuple):
-    """Per category: word weights, weights of the earlier probabilities, bias."""
+    """Per category: word weights, weights of the earlier probabilities, bias; and the categories' names."""
 
     words: np.ndarray
     earlier: np.ndarray
     bias: np.ndarray
+    names: tuple[str, ...] = ()
 
     def predict(self, rows: Rows) -> np.ndarray:
         """Probabilities, one column for each category, each fed to the next."""
@@ -69,8 +73,9 @@ class Chain(NamedTuple):
 def _fit_one(rows: Rows, before: np.ndarray, y: np.ndarray, l2: float, steps: int) -> tuple[np.ndarray, np.ndarray, float]:
     """Logistic regression, both classes of equal weight in all.
 
-    Words in fewer than ``MIN_DF`` texts are left out, and each word's feature is scaled by its
-    log odds between the classes, so that fitting spends its weight on words that tell.
+    Words in fewer than ``MIN_DF`` texts or of small log odds between the classes are left out,
+    and each word's feature is scaled by its log odds, so that fitting spends its weight on words
+    that tell.
     """
     positives = y.sum()
     k = before.shape[1]
@@ -79,13 +84,13 @@ def _fit_one(rows: Rows, before: np.ndarray, y: np.ndarray, l2: float, steps: in
         return words, np.zeros(k), 8.0 if positives else -8.0
     seen = np.bincount(rows.index, minlength=rows.size)
     used = np.flatnonzero(seen >= MIN_DF)
+    own = np.bincount(rows.index, y[rows.at], minlength=rows.size)[used]
+    scale = np.log((own + 1) / (positives + 2)) - np.log((seen[used] - own + 1) / (len(y) - positives + 2))
+    used, scale = used[np.abs(scale) >= LEAST_ODDS], scale[np.abs(scale) >= LEAST_ODDS]
     place = np.full(rows.size, -1)
     place[used] = np.arange(len(used))
     m = place[rows.index] >= 0
     at, index = rows.at[m], place[rows.index[m]]
-    own = np.bincount(index, y[at], minlength=len(used))
-    rest = seen[used] - own
-    scale = np.log((own + 1) / (positives + 2)) - np.log((rest + 1) / (len(y) - positives + 2))
     value = scale[index]
     weight = np.where(y > 0, 0.5 / positives, 0.5 / (len(y) - positives))
     n, u = len(y), len(used)
@@ -103,11 +108,48 @@ def _fit_one(rows: Rows, before: np.ndarray, y: np.ndarray, l2: float, steps: in
     return words, x[u : u + k], float(x[-1])
 
 
-def fit_chain(rows: Rows, labels: np.ndarray, folds: int = FOLDS, l2: float = 1e-4, steps: int = 120) -> Chain:
+def facets(rows: Rows, toxic: np.ndarray, most: int = FACETS) -> np.ndarray:
+    """0/1 per row and facet: toxic rows' facets, found from the words that mark toxic rows.
+
+    Markers are the features whose log odds are surest. The first facet grows from the marker
+    of most toxic rows, each further one from the marker of most rows that no facet has yet;
+    other markers join the facet whose first marker shares most of their rows.
+    """
+    y = toxic > 0
+    out = np.zeros((rows.n, most))
+    if not y.any() or y.all():
+        return out
+    n1, n0 = y.sum(), (~y).sum()
+    own = np.bincount(rows.index, y[rows.at].astype(float), minlength=rows.size)
+    rest = np.bincount(rows.index, minlength=rows.size) - own
+    odds = np.log((own + 0.5) / (n1 - own + 0.5)) - np.log((rest + 0.5) / (n0 - rest + 0.5))
+    error = np.sqrt(1 / (own + 0.5) + 1 / (n1 - own + 0.5) + 1 / (rest + 0.5) + 1 / (n0 - rest + 0.5))
+    sure = odds / error
+    markers = np.lexsort((np.arange(rows.size), -sure))[:MARKERS]
+    markers = markers[(sure[markers] >= SURE) & (own[markers] > rest[markers])]
+    has = np.zeros((rows.n, len(markers)), dtype=bool)
+    for k, word in enumerate(markers):
+        has[rows.at[rows.index == word], k] = True
+    has &= y[:, None]
+    covered, firsts = np.zeros(rows.n, dtype=bool), []
+    while len(firsts) < most and len(firsts) < len(markers):
+        gain = (has & ~covered[:, None]).sum(axis=0)
+        if gain.max() == 0:
+            break
+        firsts.append(int(gain.argmax()))
+        covered |= has[:, firsts[-1]]
+    for k in range(len(markers)):
+        shared = [(has[:, k] & has[:, f]).sum() / max(1, (has[:, k] | has[:, f]).sum()) for f in firsts]
+        if shared:
+            out[has[:, k], int(np.argmax(shared))] = 1
+    return out
+
+
+def fit_chain(rows: Rows, labels: np.ndarray, folds: int = FOLDS, l2: float = 1e-4, steps: int = 120, names: tuple[str, ...] = ()) -> Chain:
     """Fit the chain; ``labels`` has a column for each category, rows are dealt to folds in turn."""
     n, k = labels.shape
     if not n:
-        return Chain(np.zeros((k, rows.size)), np.zeros((k, k)), np.full(k, -8.0))
+        return Chain(np.zeros((k, rows.size)), np.zeros((k, k)), np.full(k, -8.0), names)
     fold = np.arange(n) % folds
     unseen = np.zeros((n, k))
     words, earlier, bias = np.zeros((k, rows.size)), np.zeros((k, k)), np.zeros(k)
@@ -120,30 +162,33 @@ def fit_chain(rows: Rows, labels: np.ndarray, folds: int = FOLDS, l2: float = 1e
                 if out.any() and not out.all():
                     w, e, b = _fit_one(rows.take(~out), unseen[~out][:, :c], y[~out], l2, steps)
                     unseen[out, c] = sigmoid(rows.take(out).dot(w) + unseen[out][:, :c] @ e + b)
-    return Chain(words, earlier, bias)
+    return Chain(words, earlier, bias, names)
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, toxic_col: str = "toxic", max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
+def train_toxicity(docs: DataFrame, labels: DataFrame, toxic_col: str = "toxic", category_cols: tuple[str, ...] = (), max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Chain:
     """Fit on at most ``max_rows`` rated documents; without ratings nothing is toxic.
 
-    The rating says whether a text is toxic; a toxic text has a category if it has one of the
-    category's words.
+    ``category_cols`` are 0/1 ratings of categories, in the chain's order; ``toxic_col`` rates the
+    whole and comes last. Without category ratings the categories are facets of the rated texts.
+    Of several ratings or texts of an id the smallest counts.
     """
-    sample = labelled_sample(docs, labels, [toxic_col], max_rows, id_col, text_col).select("body", F.col("y0").cast("int").alias("y"), F.col("id").cast("string").alias("id"))
+    cols = [*category_cols, toxic_col]
+    rated = labelled_sample(docs, labels, cols, max_rows, id_col, text_col)
+    sample = rated.select("body", F.array(*[(F.col(f"y{k}").cast("int") > 0).cast("int") for k in range(len(cols))]).alias("y"), F.col("id").cast("string").alias("id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, marks = [], []
-            for text, y in zip(batch.column(0), batch.column(1).to_pylist()):
-                text = text.as_py()
-                index.append(features(text).astype("<i4").tobytes())
-                words = set(_WORDS(text.lower())) if y else ()
-                marks.append(bytes([*(int(bool(y) and not words.isdisjoint(own)) for own in CATEGORY_WORDS.values()), int(bool(y))]))
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(index, pa.binary()), pa.array(marks, pa.binary())], ["id", "i", "y"])
-
-    found = sorted(sample.mapInArrow(run, "id string, i binary, y binary").collect(), key=lambda r: (r["id"], bytes(r["i"])))
+            index = [features(text.as_py()).astype("<i4").tobytes() for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(index, pa.binary()), batch.column(1)], ["id", "i", "y"])
+        _INDEX.clear()
+
+    found = sorted(map_batches(sample, run, "id string, i binary, y array<int>").collect(), key=lambda r: (r["id"], bytes(r["i"])))
     rows = Rows([(np.frombuffer(r["i"], "<i4"), np.ones(len(r["i"]) // 4)) for r in found], SIZE)
-    return fit_chain(rows, np.array([list(r["y"]) for r in found], dtype=float).reshape(len(found), len(CATEGORIES)))
+    y = np.array([r["y"] for r in found], dtype=float).reshape(len(found), len(cols))
+    if category_cols:
+        return fit_chain(rows, y, names=tuple(cols))
+    made = facets(rows, y[:, 0])
+    return fit_chain(rows, np.column_stack([made, y]), names=(*(f"facet_{k + 1}" for k in range(made.shape[1])), toxic_col))
 
 
 def score_toxicity(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -153,12 +198,12 @@ def score_toxicity(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_c
     independent: repeats, ties, null ids and further columns do not matter.
     """
     nonzero = np.flatnonzero(model.words.any(axis=0)).astype(np.int32)
-    held = docs.sparkSession.sparkContext.broadcast((nonzero, model.words[:, nonzero].astype(np.float32), model.earlier, model.bias))
+    held = docs.sparkSession.sparkContext.broadcast((nonzero, model.words[:, nonzero].astype(np.float32), model.earlier, model.bias, model.names))
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = [f"p_{c}" for c in CATEGORIES]
+    names = [f"p_{c}" for c in model.names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, values, earlier, bias = held.value
+        at, values, earlier, bias, _ = held.value
         words = np.zeros((len(bias), SIZE), dtype=np.float32)
         words[:, at] = values
         full = Chain(words, earlier, bias)
@@ -168,5 +213,5 @@ def score_toxicity(docs: DataFrame, model: Chain, id_col: str = "doc_id", text_c
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(p[:, c]) for c in range(len(bias)))], [id_col, *names])
         _INDEX.clear()
 
-    scored = docs.select(docs[id_col], docs[text_col].cast("string")).mapInArrow(run, f"`{id_col}` {id_type}, " + ", ".join(f"{n} double" for n in names))
+    scored = map_batches(docs.select(docs[id_col], docs[text_col].cast("string")), run, f"`{id_col}` {id_type}, " + ", ".join(f"{n} double" for n in names))
     return scored.withColumn("toxic", F.col(names[-1]) >= threshold)
