@@ -216,7 +216,7 @@ def snippet(c: Column, limit: int) -> Column:
 def short_answer(c: Column, soft: int = 150, hard: int = 120) -> Column:
     """The first sentence within ``soft`` characters, else within ``hard`` more, else cut with dots."""
     t = _strip(F.regexp_replace(_text(c), r"(?i)\([^)]*telaffuz[^)]*\)", ""))
-    first = F.regexp_extract(F.substring(t, 1, soft + hard), r"(?s)^(.*?[.!?])(?= |$)", 1)
+    first = F.regexp_extract(F.substring(t, 1, soft + hard), r"(?s)^(.*?[.!?])(?= |\z)", 1)
     return F.when(F.length(t) <= soft, t).when(first != "", first).otherwise(F.concat(F.rtrim(F.substring(t, 1, soft)), F.lit("...")))
 
 

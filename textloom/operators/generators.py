@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from textloom.functions.gates import is_harmful, line_gate, passes_thread
 from textloom.functions.text import ascii_fold, ascii_letters_only, clean_chars, cut_at_word, html_to_text, slug, strip_foreign_scripts, turkish_lower, usable_sentences
 from textloom.functions.tokens import STOP_EVAL, ascii_tokens, djb2
+from textloom.storage import materialise
 
 #: Question templates of a topic (fixed values).
 TEMPLATES = ("{} nedir", "{} kimdir", "{} hakkinda bilgi ver", "{} ne demek", "bana {} anlat", "{} nerede")
@@ -212,27 +213,26 @@ def sample_next(logits: np.ndarray, rng: np.random.Generator, temperature: float
 
 
 def markov_text(edges: DataFrame, starts: DataFrame, id_col: str, start: str, length: int = 12, temperature: float = 1.15, top_k: int = 6) -> DataFrame:
-    """Texts that walk a pruned transition table from each start word; the seed is the row's id.
+    """Texts that walk a pruned transition table from each start word, by a hash of the row's id and the step.
 
-    The table (``head, next, n``) is bounded by its pruning to frequent edges; only the ``top_k``
-    best of every head are shipped.
+    Of every head the ``top_k`` best edges (``head, next, n``) take part. Each step is a join of
+    the walkers with the table, so the table may have any size.
     """
     rn = F.row_number().over(Window.partitionBy("head").orderBy(F.col("n").desc(), "next"))
-    best = edges.withColumn("rn", rn).where(F.col("rn") <= top_k).groupBy("head").agg(F.collect_list(F.struct("next", "n")).alias("x"))
-    table = edges.sparkSession.sparkContext.broadcast({r["head"]: sorted((x["next"], float(x["n"])) for x in r["x"]) for r in best.toLocalIterator()})
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = []
-            for k, word in zip(pdf["id"], pdf["start"]):
-                rng, words = random.Random(int(k)), [word]
-                while len(words) < length and words[-1] in table.value:
-                    nexts = table.value[words[-1]]
-                    words.append(rng.choices([w for w, _ in nexts], [n ** (1 / temperature) for _, n in nexts])[0])
-                texts.append(" ".join(words))
-            yield pd.DataFrame({"id": pdf["id"], "text": texts})
-
-    return starts.select(F.col(id_col).cast("long").alias("id"), F.col(start).alias("start")).mapInPandas(walk, "id long, text string")
+    best = edges.withColumn("rn", rn).where(F.col("rn") <= top_k).withColumn("w", F.pow(F.col("n").cast("double"), F.lit(1 / temperature)))
+    share = Window.partitionBy("head").orderBy("next")
+    upto, total = F.sum("w").over(share.rowsBetween(Window.unboundedPreceding, 0)), F.sum("w").over(Window.partitionBy("head"))
+    table = best.select("head", F.struct((upto / total).alias("upto"), "next").alias("x")).groupBy("head").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    table = materialise(table, "markov-table")
+    walk = starts.select(F.col(id_col).alias("id"), F.col(start).alias("last"), F.array(start).alias("words"))
+    for step in range(1, length):
+        chance = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("id").cast("string"), F.lit(str(step)))), 1, 8), 16, 10).cast("double") / float(2**32)
+        joined = walk.withColumn("r", chance).join(table, F.col("last") == F.col("head"), "left")
+        chosen = F.coalesce(F.get(F.filter("xs", lambda x: x["upto"] > F.col("r")), F.lit(0)), F.get("xs", F.size("xs") - 1))["next"]
+        moved = joined.withColumn("to", F.when(F.col("xs").isNotNull(), chosen))
+        walk = moved.select("id", F.col("to").alias("last"), F.when(F.col("to").isNotNull(), F.concat("words", F.array("to"))).otherwise(F.col("words")).alias("words"))
+        walk = materialise(walk, "markov-walk") if step % 4 == 0 else walk
+    return walk.select("id", F.array_join("words", " ").alias("text"))
 
 
 def scored(rows: DataFrame, text: str, load: Callable[[], Callable[[list[str]], list[float]]], name: str = "score") -> DataFrame:

@@ -67,6 +67,16 @@ ORACLE_SQL = {
         WITH {_LEXICON}, b AS (SELECT item_id, unnest(regexp_extract_all(text, '[\p{{L}}]+|[^\p{{L}}]+')) AS w, generate_subscripts(regexp_extract_all(text, '[\p{{L}}]+|[^\p{{L}}]+'), 1) AS p FROM benchmark),
              j AS (SELECT item_id, p, CASE WHEN form IS NULL THEN b.w WHEN substring(b.w, 1, 1) <> lower(substring(b.w, 1, 1)) THEN upper(substring(form, 1, 1)) || substring(form, 2) ELSE form END AS w FROM b LEFT JOIN lex ON lower({sql.fold('b.w')}) = key)
         SELECT item_id, string_agg(w, '' ORDER BY p) AS text FROM j GROUP BY 1""",
+    "markov_text": f"""
+        WITH RECURSIVE s AS (SELECT unnest({sql.sentences('text')}) AS s FROM documents), t AS (SELECT {sql.ascii_tokens('s')} AS w FROM s),
+             e AS (SELECT unnest(list_transform(range(1, len(w)), lambda i: [w[i], w[i + 1]])) AS p FROM t), c AS (SELECT p[1] AS head, p[2] AS next, count(*) AS n FROM e GROUP BY 1, 2),
+             h AS (SELECT head, sum(n) AS t FROM c GROUP BY 1), k AS (SELECT head, next, pow(n::DOUBLE, 1 / 1.15::DOUBLE) AS w FROM c JOIN h USING (head) WHERE t >= 3 AND n >= 2 QUALIFY row_number() OVER (PARTITION BY head ORDER BY n DESC, next) <= 6),
+             u AS (SELECT head, next, sum(w) OVER (PARTITION BY head ORDER BY next ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) / sum(w) OVER (PARTITION BY head) AS upto FROM k),
+             xs AS MATERIALIZED (SELECT head, list({{'upto': upto, 'next': next}} ORDER BY upto, next) AS x FROM u GROUP BY 1),
+             walk AS (SELECT item_id, 1 AS step, {sql.ascii_tokens('text')}[1] AS last, {sql.ascii_tokens('text')}[1] AS txt FROM benchmark
+                      UNION ALL SELECT item_id, step + 1, nx, txt || ' ' || nx FROM (
+                        SELECT item_id, step, txt, coalesce(list_filter(x, lambda y: y.upto > ('0x' || substring(md5(item_id || ':' || step), 1, 8))::BIGINT / 4294967296.0::DOUBLE)[1], x[len(x)]).next AS nx FROM walk JOIN xs ON last = head WHERE step < 12))
+        SELECT item_id, arg_max(txt, step) AS text FROM walk GROUP BY 1""",
     "learned_ids": """
         WITH b AS (SELECT doc_id, text, 'ogr_' || lang || '_' || substring(sha1(text), 1, 8) AS b FROM documents), r AS (SELECT doc_id, b, dense_rank() OVER (PARTITION BY b ORDER BY text) AS r FROM b)
         SELECT doc_id, CASE WHEN r = 1 THEN b ELSE b || '_' || r END AS id FROM r""",

@@ -62,7 +62,7 @@ def semantic_search(spark, d):
 
 
 def ppmi_pairs(spark, d):
-    pairs = semantic.ppmi(_index(spark, d), size=200)
+    pairs = semantic.ppmi(_index(spark, d))
     return pairs.where("ppmi > 0").select("a", "b", F.round("ppmi", 6).alias("ppmi"))
 
 
@@ -202,7 +202,7 @@ ORACLE_SQL = {
     "bm25_top1": f"WITH RECURSIVE {_postings(True)}, {_BM25} SELECT item_id, doc_id, score FROM ({_rank('bm', 1)})",
     "tfidf_top3": f"WITH RECURSIVE {_postings(False)}, {_TFIDF} {_rank('lex', 3)}",
     "ppmi_pairs": f"""
-        WITH RECURSIVE {_postings(False)}, voc AS (SELECT term FROM terms WHERE df >= 3 AND length(term) >= 3 ORDER BY df DESC, term LIMIT 200),
+        WITH RECURSIVE {_postings(False)}, voc AS (SELECT term FROM terms WHERE df >= 3 AND length(term) >= 3 ORDER BY df DESC, term LIMIT 4000),
              i AS (SELECT doc, term FROM post JOIN voc USING (term)), p AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM i x JOIN i y ON x.doc = y.doc AND x.term <> y.term GROUP BY 1, 2),
              m AS (SELECT a AS t, sum(n) AS c FROM p GROUP BY 1), tt AS (SELECT sum(n) AS c FROM p)
         SELECT a, b, round(ln(tt.c * p.n / (ma.c * mb.c)), 6) AS ppmi FROM p JOIN m ma ON ma.t = a JOIN m mb ON mb.t = b, tt WHERE tt.c * p.n > ma.c * mb.c""",
