@@ -260,3 +260,40 @@ def test_paths(spark, tmp_path):
     assert [f.rsplit("/", 1)[1] for f in found] == ["chatgrow_a.jsonl", "chatgrow_b.jsonl"]
     assert files.scan_chats(spark, [str(tmp_path / "missing.jsonl"), *found]).count() == 1
     assert files.scan_chats(spark, str(tmp_path / "missing.jsonl")).isEmpty()
+
+
+def test_lsa_by_numpy(spark):
+    import numpy as np
+
+    from textloom.operators import semantic
+
+    rng = random.Random(8)
+    topics = [[f"w{t}{k}" for k in range(8)] for t in "abc"]
+    docs = [(k, " ".join(rng.choice(topics[k % 3] if rng.random() < 0.9 else topics[rng.randrange(3)]) for _ in range(30))) for k in range(36)]
+    index = search.build_index(spark.createDataFrame(docs, "id int, text string").repartition(4), "id", "text")
+    words = sorted({w for _, t in docs for w in t.split()})
+    df = {w: sum(w in t.split() for _, t in docs) for w in words}
+    a = np.array([[(1 + np.log(t.split().count(w))) * np.log(36 / (1 + df[w])) if w in t.split() and df[w] >= 2 else 0.0 for w in words] for _, t in docs])
+    u, s, _ = np.linalg.svd(a, full_matrices=False)
+    for k in (100, 3):
+        vec, basis = semantic.lsa(index, k=k, least=2, rounds=6)
+        got = np.array([r["v"] for r in vec.orderBy("doc").collect()])
+        kept = u[:, :k] * s[:k]
+        kept /= np.linalg.norm(kept, axis=1, keepdims=True)
+        assert np.abs(got @ got.T - kept @ kept.T).max() < 1e-4
+    q = semantic.fold_in(basis, search.query_terms(spark.createDataFrame([(1, "wa1 wa2 wa3")], "id int, t string"), "id", "t"))
+    sims = {r["doc"]: r["sem"] for r in semantic.similarities(vec, q, best=5)(spark.createDataFrame([(1, 1)], "q int, doc int")).collect()}
+    assert len(sims) == 6 and all(d % 3 == 0 for d in sims if d != 1) and sims[1] < min(v for d, v in sims.items() if d != 1)
+
+
+def test_nearest_vectors_by_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(k, [float(rng.randrange(-2, 3)) for _ in range(3)]) for k in range(200)]
+    frame = spark.createDataFrame(rows + [(900, None)], "vec_id int, v array<double>").repartition(5)
+    got = search.cosine_top_k(frame, frame.where("vec_id % 50 = 0"), "vec_id", "v", 7).collect()
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    for q in range(0, 200, 50):
+        sims = sorted((-round(sum(a * b for a, b in zip(v, rows[q][1])) / (norm(v) * norm(rows[q][1])), 6), k) for k, v in rows if k != q and norm(v) and norm(rows[q][1]))
+        best = [(k, -s) for s, k in sims if s < 0][:7]
+        assert [(r["doc"], r["sim"]) for r in sorted((r for r in got if r["q"] == q), key=lambda r: r["rank"])] == best
+    assert search.cosine_top_k(frame, frame.limit(0), "vec_id", "v", 7).isEmpty()

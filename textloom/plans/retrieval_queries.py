@@ -62,8 +62,9 @@ def semantic_search(spark, d):
 
 
 def ppmi_pairs(spark, d):
-    pairs = semantic.ppmi(_index(spark, d))
-    return pairs.where("ppmi > 0").select("a", "b", F.round("ppmi", 6).alias("ppmi"))
+    """The five strongest associations of every term of the space."""
+    pairs = semantic.ppmi(_index(spark, d)).where("ppmi > 0").select(F.col("a").alias("q"), F.col("b").alias("doc"), "ppmi")
+    return search.top(pairs, "ppmi", 5).select(F.col("q").alias("a"), F.col("doc").alias("b"), "ppmi", "rank")
 
 
 def pattern_division(spark, d):
@@ -205,7 +206,8 @@ ORACLE_SQL = {
         WITH RECURSIVE {_postings(False)}, voc AS (SELECT term FROM terms WHERE df >= 3 AND length(term) >= 3 ORDER BY df DESC, term LIMIT 4000),
              i AS (SELECT doc, term FROM post JOIN voc USING (term)), p AS (SELECT x.term AS a, y.term AS b, count(*) AS n FROM i x JOIN i y ON x.doc = y.doc AND x.term <> y.term GROUP BY 1, 2),
              m AS (SELECT a AS t, sum(n) AS c FROM p GROUP BY 1), tt AS (SELECT sum(n) AS c FROM p)
-        SELECT a, b, round(ln(tt.c * p.n / (ma.c * mb.c)), 6) AS ppmi FROM p JOIN m ma ON ma.t = a JOIN m mb ON mb.t = b, tt WHERE tt.c * p.n > ma.c * mb.c""",
+        SELECT a, b, ppmi, rank FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY ppmi DESC, b) AS rank FROM
+          (SELECT a, b, round(ln(tt.c * p.n / (ma.c * mb.c)), 6) AS ppmi FROM p JOIN m ma ON ma.t = a JOIN m mb ON mb.t = b, tt WHERE tt.c * p.n > ma.c * mb.c)) WHERE rank <= 5""",
     "pattern_division": f"""
         WITH qq AS (SELECT item_id, list_distinct({_tok}) AS t FROM benchmark), ok AS (SELECT * FROM qq WHERE len(t) >= 2 OR len(list_filter(t, lambda w: length(w) >= 6)) > 0),
              dd AS (SELECT doc_id, {_tok} AS t FROM documents)
