@@ -32,13 +32,16 @@ def _mask(h: Column) -> Column:
     return out
 
 
-def bit_filter(hashes: DataFrame) -> DataFrame:
-    """``part, words`` of the 64-bit hashes in the column ``h``: 512 rows of 1,024 words."""
+def bit_filter(hashes: DataFrame, write: bool = False) -> DataFrame:
+    """``part, words`` of the 64-bit hashes in the column ``h``: 512 rows of 1,024 words.
+
+    A filter that is asked more than once is to be written, else it is made for its broadcast.
+    """
     h = F.col("h")
     every = hashes.sparkSession.range(1 << (ROW_BITS + WORD_BITS)).select(_part(F.col("id")).alias("part"), _word(F.col("id")).alias("word"), F.lit(0).cast("long").alias("bits"))
     words = hashes.select(_part(h).alias("part"), _word(h).alias("word"), _mask(h).alias("bits")).unionByName(every).groupBy("part", "word").agg(F.bit_or("bits").alias("bits"))
     rows = words.groupBy("part").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda x: x["bits"]).alias("words"))
-    return materialise(rows, "bit-filter")
+    return materialise(rows.coalesce(2), "bit-filter") if write else rows
 
 
 def _tested(rows: DataFrame, h: Column, known: DataFrame, passes: bool) -> DataFrame:

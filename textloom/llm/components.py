@@ -21,7 +21,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         lower = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        lower = materialise(lower, "cc-lower")
+        lower = materialise(lower, "cc-lower")  # as a scan, so that a large component's rows can be split in the join
         to = lower.select(F.col("node").alias("via"), F.col("label").alias("jump"))
         jumped = lower.join(to, lower["label"] == to["via"], "left").select("node", "was", F.least("label", F.coalesce("jump", "label")).alias("label"))
         jumped = materialise(jumped, "cc-jumped")

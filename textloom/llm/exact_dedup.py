@@ -106,7 +106,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         index.flush(keyed.where(F.pmod(F.xxhash64("id"), F.lit(batches)) == part) if batches > 1 else keyed)
     level = index.compact()
     repeated = level.where("n > 1")
-    known, hashed = bit_filter(repeated.select(F.xxhash64("digest").alias("h"))), F.xxhash64("digest")
+    known, hashed = bit_filter(repeated.select(F.xxhash64("digest").alias("h")), write=carry), F.xxhash64("digest")
 
     looked_up = materialise(may_contain(keyed, hashed, known).join(repeated, "digest", "left"), "digest-hits")
     hits = looked_up.where("n is not null")

@@ -10,10 +10,9 @@ no wider than the threshold allows, and linked if aligned shingles are at least
 of all shingles of both. Classes are the connected components of the links.
 
 Copies of the same words are one node. In a bucket every member is compared with the bucket's
-smallest member, so a group of thousands of near copies costs one comparison each. Buckets that
-then hold different components get a second star.
+smallest member, so a group of thousands of near copies costs one comparison each.
 
-What is still mixed is settled by an exact prefix join. In any fixed order of all shingles, two
+Buckets that then hold different components are settled by an exact prefix join. In any fixed order of all shingles, two
 texts of at least ``threshold`` share one of the first ``n - ceil(threshold * n) + 1`` of the
 larger and of the first ``n - ceil(2 threshold / (1 + threshold) * n) + 1`` of the smaller, and
 what stands before the first shared one is lost to the overlap. The order is rarest first, by
@@ -266,7 +265,7 @@ def _prefix_pairs(rest: DataFrame, texts: DataFrame, threshold: float) -> DataFr
     both leave out what differs in too many shingles for certain.
     """
 
-    left = materialise(rest.select("node", "label", "size").distinct().join(texts, "node").select("node", "label", "size", "words"), "omh-left")
+    left = materialise(rest.join(texts, "node").select("node", "label", "size", "words"), "omh-left")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SLOTS, dtype=np.int64)
@@ -380,24 +379,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = found.where(F.col("want") == text_key(F.col("text"), F.col("words"))).groupBy(F.col("want").alias("node")).agg(F.first("words").alias("words"))
     texts = materialise(texts, "omh-texts")
 
-    links = tested = labels = joined = None
-    rest = members.withColumn("label", F.col("node"))
-    for _ in range(2):
-        if rest.isEmpty():
-            break
-        centre = rest.groupBy("key").agg(F.min(F.struct("label", "node", "size")).alias("c"))
-        centre = materialise(centre.select("key", F.col("c.node").alias("b"), *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("label", "size")]), "omh-centres")
-        star = rest.join(centre, "key").where((F.col("label") != F.col("label_b")) & _sizes_fit(threshold))
-        star = star.select(F.greatest("node", "b").alias("b"), F.least("node", "b").alias("a")).select("a", "b").distinct()
-        if tested is not None:
-            star = star.join(tested, ["a", "b"], "left_anti")
-        star = materialise(star, "omh-star")
-        tested = star if tested is None else tested.unionByName(star)
-        found = materialise(_verified(star, texts, threshold), "omh-links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
-        rest = _unsettled(members, labels)
-    if links is not None and not rest.isEmpty():
+    centre = members.groupBy("key").agg(F.min(F.struct("node", "size")).alias("c"))
+    centre = materialise(centre.select("key", F.col("c.node").alias("b"), F.col("c.size").alias("size_b")), "omh-centres")
+    star = members.join(centre, "key").where((F.col("node") != F.col("b")) & _sizes_fit(threshold))
+    tested = materialise(star.select(F.col("b").alias("a"), F.col("node").alias("b")).distinct(), "omh-star")  # the centre is the smaller
+    labels = components(materialise(_verified(tested, texts, threshold), "omh-links"))
+    rest, joined = _unsettled(members, labels), None
+    if not rest.isEmpty():
         pairs = materialise(_prefix_pairs(rest, texts, threshold).join(tested, ["a", "b"], "left_anti"), "omh-pairs")
         # first one pair for each two components, then all others of those that are still apart
         few = materialise(pairs.groupBy("la", "lb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"), "omh-few")
@@ -412,8 +400,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             joined = _joined_components(found.unionByName(more), labels)
 
     spread = nodes.select("node", "id", "n")
-    spread = spread.join(labels, "node", "left") if labels is not None else spread.withColumn("label", F.lit(None).cast("binary"))
-    spread = spread.withColumn("label", F.coalesce("label", "node"))
+    spread = spread.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     if joined is not None:
         spread = spread.join(joined, "label", "left").withColumn("label", F.coalesce("to_label", "label")).drop("to_label")
     head = F.coalesce(F.min(F.when(F.col("id").isNotNull(), F.struct("id", "node")))["node"], F.min("node"))
@@ -436,11 +423,10 @@ def _joined_components(found: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _unsettled(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members, with their component, of the buckets that hold more than one component."""
+    """``node, label, size`` of the members of the buckets that hold more than one component."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialise(named, "omh-named")
     mixed = materialise(named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key"), "omh-mixed")
-    return materialise(named.join(mixed, "key"), "omh-rest")
+    return materialise(named.join(mixed, "key").select("node", "label", "size").distinct(), "omh-rest")
 
 
 def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -450,7 +436,7 @@ def near_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     gone = near_duplicates(docs, id_col, text_col, threshold).where("not kept").groupBy(F.col(id_col).alias("gone_id")).agg(F.collect_set(F.unhex("node")).alias("gone_nodes"))
     gone = materialise(gone, "omh-gone")
-    known = bit_filter(gone.select(F.xxhash64("gone_id").alias("h")))
+    known = bit_filter(gone.select(F.xxhash64("gone_id").alias("h")), write=True)
     keyed = docs.select(F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(docs.columns)]).alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     perhaps = may_contain(keyed, F.xxhash64("id"), known)
     both = perhaps.join(gone, perhaps["id"].eqNullSafe(gone["gone_id"]), "left")
