@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import sys
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -24,6 +26,10 @@ from textloom.llm.batches import map_batches
 from textloom.llm.char_classes import as_known
 
 
+if sys.byteorder != "little" or array("I").itemsize != 4:
+    raise ImportError("ids are packed as this machine's unsigned integers, which must be little-endian of 32 bits")
+
+
 def read_ranks(path: str) -> bytes:
     """The rank file's bytes (under a few MB), for shipping to executors."""
     with open(path, "rb") as f:
@@ -51,20 +57,31 @@ def merge_by_rank(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 
 
 class _Packed(dict):
-    """Pieces to their ids as little-endian unsigned 32-bit integers; bounded, filled on demand."""
+    """Pieces of texts to their ids as little-endian unsigned 32-bit integers; bounded, filled on demand.
+
+    When full, the entries become the old generation; what is asked for again comes back from it.
+    """
 
-    def __init__(self, encode, limit: int = 150_000, longest: int = 64):
+    def __init__(self, pack, limit: int, longest: int = 64):
         super().__init__()
-        self.encode, self.limit, self.longest = encode, limit, longest
+        self.pack, self.limit, self.longest, self.old = pack, limit, longest, {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = b"".join(i.to_bytes(4, "little") for i in self.encode(piece.encode("utf-8", "surrogatepass")))
-        if len(piece) <= self.longest:
-            if len(self) >= self.limit:
-                self.clear()
-            self[piece] = ids
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = self.pack(piece)
+            if len(piece) > self.longest:
+                return ids
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[piece] = ids
         return ids
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 class ByteBPE:
     """Encoder and decoder for one rank file and split pattern."""
@@ -81,10 +98,10 @@ class ByteBPE:
         self.shorter = {rank: next((ranks[t] for n in range(len(token) - 1, 0, -1) if (t := token[:n]) in ranks), None) for token, rank in ranks.items()}
         self.fits: dict[tuple[int, int], bool] = {}
         self.split = regex.compile(pattern)
-        self.packed = _Packed(self.encode_piece)
+        self.packed = _Packed(self.pack, 250_000)
 
     def compatible(self, left: int, right: int) -> bool:
-        """Whether the merges leave exactly these two tokens of their joint bytes."""
+        """Whether the merges leave exactly these two tokens of their joint bytes; remembered."""
         known = self.fits.get((left, right))
         if known is None:
             if len(self.fits) >= 300_000:
@@ -122,9 +139,12 @@ class ByteBPE:
         known = as_known(text)
         return self.split.findall(text) if known is text else [text[m.start() : m.end()] for m in self.split.finditer(known)]
 
+    def pack(self, piece: str) -> bytes:
+        return array("I", self.encode_piece(piece.encode("utf-8", "surrogatepass"))).tobytes()
+
     def forget(self) -> None:
-        """Empty the remembered results, as a worker does when its task ends."""
-        self.packed.clear()
+        """Empty the remembered results."""
+        self.packed.forget()
         self.fits.clear()
 
     def encode(self, text: str) -> bytes:
@@ -147,14 +167,15 @@ def encoder(data: bytes, pattern: str) -> ByteBPE:
     return _BUILT[key]
 
 
-def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, forget: bool = True) -> DataFrame:
     """Encode every whole text and decode it again.
 
     Returns ``id_col, n_tokens, ids_sha256, decoded_sha256`` and, with ``with_ids``, ``ids``
     (packed, as ``encode`` gives them) and ``decoded_ok``. A null text is empty: no tokens.
     Rows are independent, so order, repeats, ties and further columns do not matter; a text
     of any length is encoded whole. ``ranks`` is the rank file (a few MB at most), which is
-    shipped to the executors.
+    shipped to the executors. Workers empty what they remember of a task when it ends, unless
+    ``forget`` is off, for jobs that do nothing else.
     """
     held = docs.sparkSession.sparkContext.broadcast(ranks)
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -180,7 +201,8 @@ def encode_texts(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc
                 columns += [pa.array(packs, pa.binary()), pa.array(good, pa.bool_())]
                 names += ["ids", "decoded_ok"]
             yield pa.RecordBatch.from_arrays(columns, names)
-        bpe.forget()
+        if forget:
+            bpe.forget()
 
     pair = docs.select(docs[id_col], F.col(text_col).cast("string"))
     return map_batches(pair, run, f"`{id_col}` {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string{more}")

@@ -6,8 +6,16 @@ characters assigned since. Those are listed here and count as neither letter nor
 
 from __future__ import annotations
 
+import re
+
 import regex
 
+#: Unicode White_Space, which the split patterns' \\s means (fixed values).
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Runs of other characters with the white space before them, and a text's last white space. No
+#: match of the split pattern crosses their ends.
+chunks = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
+
 #: First and last code points that only the later edition calls letters.
 LATER_LETTERS = (
     (0x558, 0x558), (0x58B, 0x58C), (0x88F, 0x88F), (0xC5C, 0xC5C), (0xCDC, 0xCDC), (0x208F, 0x208F), (0x209D, 0x209F), (0xA7CE, 0xA7CF), (0xA7D2, 0xA7D2), (0xA7D4, 0xA7D4),

@@ -74,7 +74,7 @@ def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     ranks = read_ranks(path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    return encode_texts(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
+    return encode_texts(_table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False, forget=False)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,11 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.llm.batches import map_batches
-from textloom.llm.char_classes import char_class
+from textloom.llm.char_classes import char_class, chunks
 
-#: Unicode White_Space, which the split pattern's \s means (fixed values).
-WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-_CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+").findall
 #: Endings that the split pattern takes after an apostrophe (fixed values).
 SHORT_ENDINGS = "stmd"
 LONG_ENDINGS = {"r": "e", "v": "e", "l": "l"}
@@ -78,7 +75,7 @@ class StateMap(NamedTuple):
 class Transducer:
     """A byte-level BPE vocabulary compiled, as far as needed, to a deterministic transducer."""
 
-    def __init__(self, spec: bytes, max_transitions: int = 400_000, max_words: int = 200_000, max_fits: int = 200_000):
+    def __init__(self, spec: bytes, max_transitions: int = 800_000, max_words: int = 350_000, max_fits: int = 300_000):
         model = json.loads(spec)
         if model["model"]["type"] != "BPE" or (model.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or model.get("normalizer"):
             raise ValueError("only byte-level BPE without normaliser is compiled")
@@ -246,16 +243,16 @@ class Transducer:
 
     def block_map(self, block: str) -> StateMap:
         """The state map of a block of text that was cut anywhere."""
-        chunks = _CHUNKS(block)
-        if len(chunks) < 2:
+        parts = chunks(block)
+        if len(parts) < 2:
             return StateMap(block)
         known, word = self.words, self.word
         count = 0
-        for chunk in chunks[1:-1]:
+        for chunk in parts[1:-1]:
             n = known.get(chunk)
             count += word(chunk) if n is None else n
-        state, more = self.run(self.initial, chunks[-1])
-        return StateMap(chunks[0], True, count + more, state)
+        state, more = self.run(self.initial, parts[-1])
+        return StateMap(parts[0], True, count + more, state)
 
     def compose(self, a: StateMap, b: StateMap) -> StateMap:
         """First a, then b. Whether pieces end where two blocks meet is seen from the states."""
