@@ -99,6 +99,18 @@ def test_encoding_is_that_of_the_library(spark, empty):
     assert byte_bpe.encode_texts(empty, ranks, P.PATTERN).count() == 0
 
 
+def test_compatible_tokens_are_those_that_merges_leave():
+    rng = random.Random(23)
+    ranks = byte_bpe.parse_ranks(byte_bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")))
+    bpe = byte_bpe.ByteBPE(ranks, P.PATTERN)
+    pairs = [(rng.randrange(len(ranks)), rng.randrange(len(ranks))) for _ in range(20_000)]
+    for text in ("".join(rng.choice("abcdeinorst") for _ in range(9)) for _ in range(4_000)):
+        cut = rng.randrange(1, 8)
+        pairs += [(ranks[a], ranks[b]) for a, b in ((text[:cut].encode(), text[cut:].encode()),) if a in ranks and b in ranks]
+    apart = {p: byte_bpe.merge_by_rank(bpe.tokens[p[0]] + bpe.tokens[p[1]], ranks) == list(p) for p in pairs}
+    assert {p: bpe.compatible(*p) for p in pairs} == apart and 100 < sum(apart.values()) < len(apart)
+
+
 def test_backtracking_against_merges():
     rng = random.Random(3)
     ranks = {bytes([c]): c for c in range(256)}
@@ -438,6 +450,17 @@ def test_archives_round_trip(spark):
     assert warc_index.archive_and_read(frame.limit(0)).count() == 0
 
 
+def test_archives_keep_any_id(spark):
+    """String ids with odd characters, repeated rows, clashing columns and a long page."""
+    ids = ["-", "", "a b", "x>y\nz", "é", None, "null", "id:1", "dup", "dup"]
+    pages = [(p, f"http://h.example/{k % 3}", f"body {k}" if k < 8 else "the same", "file", "key") for k, p in enumerate(ids)] + [("long", "http://h.example/l", "é" * 400_000, "", "")]
+    frame = spark.createDataFrame(pages, "page_id string, url string, html string, file string, key string").repartition(3)
+    got = warc_index.archive_and_read(frame).collect()
+    assert sorted(str(r["page_id"]) for r in got) == sorted(str(p[0]) for p in pages)
+    bodies = {p[0]: p[2].encode() for p in pages}
+    assert all((r["payload_digest"], r["payload_bytes"], r["record_type"]) == (warc_index.payload_digest(bodies[r["page_id"]]), len(bodies[r["page_id"]]), "response") for r in got)
+
+
 def test_index_lookup(spark):
     frame = spark.createDataFrame([(k, f"http://h{k % 50}.example/{k}", f"b{k}") for k in range(400)], "page_id long, url string, html string")
     index = warc_index.CaptureIndex.build(warc_index.write_archives(frame), block_lines=16)

@@ -22,6 +22,7 @@ import zlib
 from bisect import bisect_left, bisect_right
 from collections import OrderedDict
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -47,7 +48,7 @@ def url_key(url: str | None) -> str:
 
 def line_key(url: str | None, page_id: object) -> str:
     """A capture's key: URL key and page id. White space in URLs is escaped."""
-    return json.dumps(url_key(url))[1:-1].replace(" ", "%20") + f" {'-' if page_id is None else page_id}"
+    return json.dumps(url_key(url))[1:-1].replace(" ", "%20") + " " + _page(page_id)
 
 
 def payload_digest(payload: bytes) -> str:
@@ -59,9 +60,9 @@ def make_record(page_id: object, url: str | None, payload: bytes, refers_to: obj
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     target = json.dumps(url or "")[1:-1].replace(" ", "%20")
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'-' if page_id is None else page_id}>", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{_page(page_id)}>", f"WARC-Target-URI: {target}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{payload_digest(payload)}"]
     if revisit:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{_page(refers_to)}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return gzip.compress("\r\n".join(lines).encode() + _SPLIT + block + _SPLIT, LEVEL, mtime=0)
 
@@ -76,8 +77,14 @@ def parse_record(member: bytes) -> tuple[dict[str, str], bytes, bytes]:
     return fields, http, payload
 
 
-def _urn(field: str) -> str:
-    return field.removeprefix("<urn:page:").removesuffix(">")
+def _page(page_id: object) -> str:
+    """An id, whatever its characters, as one word; a null id is another word than any id."""
+    return "null" if page_id is None else "id:" + quote(str(page_id), safe="")
+
+
+def _urn(field: str) -> str | None:
+    word = field.removeprefix("<urn:page:").removesuffix(">")
+    return None if word == "null" else unquote(word.removeprefix("id:"))
 
 
 def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", body_col: str = "html", min_bytes: int = 0) -> DataFrame:
@@ -232,7 +239,7 @@ def read_captures(lookups: DataFrame, index: CaptureIndex, id_col: str = "page_i
                         raise ValueError(f"damaged payload at {file}:{offset}")
                     size = int(dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:])["Content-Length"]) if revisit else len(payload)
                     page = _urn(fields["WARC-Record-ID"])
-                    out.append((None if page == "-" else page, size, digest, fields["WARC-Type"], _urn(fields["WARC-Refers-To"]) if revisit else None))
+                    out.append((page, size, digest, fields["WARC-Type"], _urn(fields["WARC-Refers-To"]) if revisit else None))
             columns = list(zip(*out)) if out else [[]] * 5
             kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
