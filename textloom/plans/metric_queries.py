@@ -72,7 +72,7 @@ def case_damage(spark, d):
 
 def repeated_answers(spark, d):
     c = table(spark, d, "conversations").where("role = 'assistant'").select("conv_id", "turn", eval_tokens(F.col("text")).alias("t"))
-    return dedupe.repeated_answers(c, "conv_id", "turn", "t", 0.3).select(F.col("g").alias("conv_id"), F.col("ord").alias("turn"), "earlier")
+    return dedupe.repeated_answers(c, "conv_id", "turn", "t", 0.05).select(F.col("g").alias("conv_id"), F.col("ord").alias("turn"), "earlier")
 
 
 def rate_limit(spark, d):
@@ -163,7 +163,7 @@ ORACLE_SQL = {
     "repeated_answers": f"""
         WITH a AS (SELECT conv_id, turn, list_distinct({sql.eval_tokens('text')}) AS t FROM conversations WHERE role = 'assistant'),
              j AS (SELECT a.conv_id, a.turn, b.turn AS o, len(list_intersect(a.t, b.t)) AS s, len(a.t) AS n, len(b.t) AS m FROM a JOIN a b ON a.conv_id = b.conv_id AND b.turn < a.turn)
-        SELECT conv_id, turn, min(o) AS earlier FROM j WHERE n > 0 AND m > 0 AND s / (n + m - s) >= 0.3 GROUP BY 1, 2""",
+        SELECT conv_id, turn, min(o) AS earlier FROM j WHERE n > 0 AND m > 0 AND s / (n + m - s) >= 0.05 GROUP BY 1, 2""",
     "worst_items": _METRICS + """
         , s AS (SELECT conv, turn, round(0.65 * gold_recall + 0.25 * fluency + 0.05 * copy_bleu + 0.05 * greatest(0, 1 - least(1, abs(length_ratio - 1))) - CASE WHEN nc = 0 THEN 0.5 ELSE 0 END, 6) AS qa_score FROM f)
         SELECT conv, turn, qa_score FROM s ORDER BY qa_score, conv * 1000 + turn LIMIT 5""",
