@@ -193,3 +193,14 @@ def test_merges_are_learned_from_all_words(spark, tmp_path):
     spark.createDataFrame([(0, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(0, "xy")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert [r["pieces"] for r in bpe_pieces(spark, str(tmp_path)).collect()] == ["xy"]
+
+
+def test_merges_of_words_that_stay_on_the_executors(spark, monkeypatch):
+    rng = random.Random(5)
+    parts = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 3))) for _ in range(12)]
+    words = {"".join(rng.choice(parts) for _ in range(rng.randint(1, 8))): rng.randint(1, 40) for _ in range(300)} | {"aaaaaaa": 50}
+    want = subwords.train_merges(words, 4 + 70, [], 2)
+    docs = spark.createDataFrame([(" ".join([w] * n),) for w, n in words.items()], "t string").repartition(3)
+    monkeypatch.setattr(subwords, "train_merges", None)  # it takes the words on the driver
+    monkeypatch.setattr(subwords, "HELD_MERGES", 9)
+    assert subwords.train_bpe(docs, "t", 4 + 70, [], 2, max_words=None) == want
