@@ -204,3 +204,19 @@ def test_merges_of_words_that_stay_on_the_executors(spark, monkeypatch):
     monkeypatch.setattr(subwords, "train_merges", None)  # it takes the words on the driver
     monkeypatch.setattr(subwords, "HELD_MERGES", 9)
     assert subwords.train_bpe(docs, "t", 4 + 70, [], 2, max_words=None) == want
+
+
+
+def test_matched_responses_are_those_of_all_pairs(spark):
+    from textloom.functions.tokens import ascii_tokens
+    from textloom.operators import generators
+
+    rng = random.Random(3)
+    words = ["kedi", "kediler", "balik", "a1b", "su", "için", "deniz", "denizler", "ler"]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    docs = spark.createDataFrame([(rng.choice(["x", "y", None]), say(6)) for _ in range(80)] + [("x", None)], "lang string, response string").repartition(3)
+    q = spark.createDataFrame([(k, rng.choice(["x", "y", "z"]), say(4)) for k in range(25)], "i int, lang string, text string")
+    got = generators.matched_responses(q, "i", "text", docs, "response", "lang")
+    both = q.join(docs, "lang").withColumns({"w": ascii_tokens(F.col("text")), "t": ascii_tokens(F.col("response"))})
+    want = generators.select_response(both, "i", "w", "response", "t")
+    assert sorted(map(tuple, got.select("i", "response", F.col("score").cast("double")).collect())) == sorted(map(tuple, want.select("i", "response", F.col("score").cast("double")).collect()))

@@ -8,13 +8,16 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from textloom.functions.gates import is_harmful, line_gate, passes_thread
 from textloom.functions.text import ascii_fold, ascii_letters_only, clean_chars, cut_at_word, html_to_text, slug, strip_foreign_scripts, turkish_lower, usable_sentences
 from textloom.functions.tokens import STOP_EVAL, ascii_tokens, djb2
+from textloom.operators.search import query_blocks, union_all
 from textloom.storage import materialise
 
 #: Question templates of a topic (fixed values).
@@ -139,6 +142,74 @@ def select_response(candidates: DataFrame, q: str, words: str, response: str, to
     return rated.groupBy("q").agg(F.max_by("r", F.struct("s", F.md5("r"))).alias("response"), F.max("s").alias("score")).withColumnRenamed("q", q)
 
 
+class _Inside(dict):
+    """Tokens to the places of the words that they contain; bounded, filled on demand."""
+
+    def __init__(self, places: dict[str, int]):
+        super().__init__()
+        self.places, self.longest = places, max(map(len, places), default=0)
+
+    def __missing__(self, token: str) -> tuple[int, ...]:
+        if len(self) >= 100_000:
+            self.clear()
+        ends = range(3, self.longest + 1)
+        self[token] = found = tuple({self.places[w] for i in range(len(token) - 2) for n in ends if i + n <= len(token) and (w := token[i : i + n]) in self.places})
+        return found
+
+
+def matched_responses(queries: DataFrame, q: str, text: str, responses: DataFrame, response: str, by: str) -> DataFrame:
+    """``select_response`` of all queries with all responses of the same ``by``; no pair becomes a row.
+
+    A query's words are runs of letters and digits, so what a response contains of them is inside
+    its own tokens. These are looked up once for each response, for all queries of a block.
+    """
+    asked = F.filter(ascii_tokens(F.col(text)), lambda w: (F.length(w) >= 3) & ~F.array_contains(F.array(*[F.lit(x) for x in STOP_EVAL]), w))
+    wanted = queries.where(F.col(by).isNotNull()).select(F.col(q).alias("q"), F.col(by).alias("by"), F.array_distinct(asked).alias("words"))
+    rows = responses.where(F.col(by).isNotNull()).select(F.col(by).alias("by"), F.col(response).alias("r"), F.md5(response).alias("h"), F.array_distinct(ascii_tokens(F.col(response))).alias("toks"))
+    q_type, r_type = wanted.schema["q"].dataType, rows.schema["r"].dataType
+    schema = f"q {q_type.simpleString()}, s double, h string, r {r_type.simpleString()}"
+    parts = []
+    for block in query_blocks(wanted, "q"):
+        found = block.collect()
+        places = {w: k for k, w in enumerate(sorted({w for x in found for w in x["words"]}))}
+        groups = {}
+        for x in found:
+            groups.setdefault(x["by"], []).append((x["q"], [places[w] for w in x["words"]]))
+        held = rows.sparkSession.sparkContext.broadcast((places, groups))
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            places, groups = held.value
+            inside, best, step = _Inside(places), {}, max(1, 4_000_000 // max(1, len(places)))
+            tables = {}
+            for kind, xs in groups.items():
+                tables[kind] = table = np.zeros((len(places), len(xs)), np.float32)
+                for j, (_, own) in enumerate(xs):
+                    table[own, j] = 1
+            for batch in batches:
+                kinds, texts, hashes, toks = (c.to_pylist() for c in batch.columns)
+                order = sorted(range(len(kinds)), key=lambda i: hashes[i] or "", reverse=True)  # of equal scores the first is wanted
+                for kind, table in tables.items():
+                    own = [i for i in order if kinds[i] == kind]
+                    for lo in range(0, len(own), step):
+                        part = own[lo : lo + step]
+                        weights = np.zeros((len(part), len(places)), np.float32)
+                        for k, i in enumerate(part):
+                            weights[k, list(set().union(*[inside[t] for t in toks[i]]))] = 0.5
+                            weights[k, [places[t] for t in toks[i] if t in places]] = 1.5
+                        scores = weights @ table
+                        first = scores.argmax(axis=0)
+                        for j, k in enumerate(first.tolist()):
+                            made = (float(scores[k, j]), hashes[part[k]] or "")
+                            if (kind, j) not in best or made > best[kind, j][0]:
+                                best[kind, j] = (made, texts[part[k]])
+            out = [(groups[kind][j][0], s, h, r) for (kind, j), ((s, h), r) in best.items()]
+            columns = list(zip(*out)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (to_arrow_type(q_type), pa.float64(), pa.string(), to_arrow_type(r_type)))], ["q", "s", "h", "r"])
+
+        parts.append(rows.mapInArrow(run, schema))
+    return union_all(parts).groupBy("q").agg(F.max_by("r", F.struct("s", "h")).alias("response"), F.max("s").alias("score")).withColumnRenamed("q", q)
+
+
 def negation(message: Column, negative: list[str] = NEGATIVE, endings: list[str] = NEGATIVE_ENDINGS) -> Column:
     """``struct(negated, topic)``: whether a message is negative, and its other words of four letters."""
     words = F.filter(F.split(F.lower(ascii_fold(message)), r"\s+"), lambda w: F.length(w) >= 3)

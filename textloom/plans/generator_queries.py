@@ -37,9 +37,8 @@ def dialogue_memory(spark, d):
 
 def select_response(spark, d):
     docs = table(spark, d, "documents").select("lang", F.col("text").alias("response"))
-    q = table(spark, d, "benchmark").select("item_id", (F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("es"))[(F.col("item_id") % 4).cast("int")]).alias("lang"), ascii_tokens(F.col("text")).alias("words"))
-    c = q.join(docs, "lang").withColumn("toks", ascii_tokens(F.col("response")))
-    return generators.select_response(c, "item_id", "words", "response", "toks").select("item_id", F.col("score").cast("double").alias("score"))
+    q = table(spark, d, "benchmark").select("item_id", (F.array(F.lit("en"), F.lit("fr"), F.lit("de"), F.lit("es"))[(F.col("item_id") % 4).cast("int")]).alias("lang"), "text")
+    return generators.matched_responses(q, "item_id", "text", docs, "response", "lang").select("item_id", F.col("score").cast("double").alias("score"))
 
 
 def markov_text(spark, d):
