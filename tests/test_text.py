@@ -82,3 +82,16 @@ def test_a_long_answer_is_cleaned_once(spark):
     for f in (lambda c: text.seq_refine_response(text.clean_chars(c), 204), lambda c: text.segments(text.ascii_fold(c))):
         plan = rows.select(f(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("translate(") < 6
+
+
+def test_answers_are_judged_to_their_end(spark, tmp_path):
+    from textloom.plans.function_queries import answer_gates
+
+    base = "cats dogs birds fish new old " * 40
+    answers = [base[:254] + ".", base[:249] + "." + base[:9] + "s", base[:259] + ".", base[:260] + ".", base[:900] + ".", "cats dogs birds. " + " " * 234 + "new old."]
+    turns = [row for k, a in enumerate(answers) for row in ((k, 0, "user", "cats dogs birds fish"), (k, 1, "assistant", a))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert [len(a) for a in answers] == [255, 260, 260, 261, 901, 259]
+    got = answer_gates(spark, str(tmp_path)).orderBy("conv").collect()
+    assert [r["generated"] for r in got] == [None, "cut", None, "length", "length", None]
+    assert [r["rephrased"] for r in got] == [None, None, None, "length", "length", None]

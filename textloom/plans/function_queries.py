@@ -50,7 +50,7 @@ def answer_gates(spark, d):
     """Answers against their questions: the first broken rule, of generated text and of rephrased facts, and title anchors."""
     p = pairs.chat_pairs(table(spark, d, "conversations")).withColumns({"a": tokens.ascii_tokens(F.col("resp")), "q": tokens.ascii_tokens(F.col("ctx"))})
     words = F.array(*[F.lit(w) for w in _VOCABULARY])
-    return p.select("conv", "turn", gates.generated_gate(F.substring("resp", 1, 250), F.col("a"), F.col("q"), words, tokens.content_terms(F.col("q"))).alias("generated"), gates.rephrase_gate(F.substring("resp", 1, 250), F.col("a"), F.concat(F.col("q"), words)).alias("rephrased"), gates.chunk_anchored(F.col("q"), F.col("a")).alias("anchored"))
+    return p.select("conv", "turn", gates.generated_gate(F.col("resp"), F.col("a"), F.col("q"), words, tokens.content_terms(F.col("q"))).alias("generated"), gates.rephrase_gate(F.col("resp"), F.col("a"), F.concat(F.col("q"), words)).alias("rephrased"), gates.chunk_anchored(F.col("q"), F.col("a")).alias("anchored"))
 
 
 def built_pairs(spark, d):
@@ -169,7 +169,7 @@ ORACLE_SQL = {
                len(bad) > 0 AS negated, array_to_string(list_sort(list_distinct(list_filter(ws, lambda w: length(w) >= 4 AND NOT list_contains(bad, w)))), ' ') AS topic,
                regexp_matches(x, '{gates.HARD_PII}') AS personal, regexp_matches(x, '{gates.SOFT_PII}') AS handle FROM n""",
     "answer_gates": rf"""
-        WITH {sql.RAW_PAIRS}, t AS (SELECT conv, turn, substring(resp, 1, 250) AS g, {sql.ascii_tokens('resp')} AS a, {sql.ascii_tokens('ctx')} AS q FROM pairs),
+        WITH {sql.RAW_PAIRS}, t AS (SELECT conv, turn, resp AS g, {sql.ascii_tokens('resp')} AS a, {sql.ascii_tokens('ctx')} AS q FROM pairs),
              u AS (SELECT *, list_distinct(a) AS o, regexp_extract_all(lower(g), '\p{{L}}') AS ls, list_distinct(list_concat(q, {sql.words(_VOCABULARY)})) AS kn, list_distinct(list_filter(q, lambda w: length(w) > 1 AND NOT list_contains({sql.words(tokens.STOP_EVAL)}, w))) AS asked FROM t)
         SELECT conv, turn,
                CASE WHEN length(g) < 12 OR length(g) > 260 THEN 'length' WHEN length(g) >= 60 AND NOT regexp_matches(rtrim(g), '[.!?…")]$') THEN 'cut' WHEN {_few('ls')} THEN 'letters' WHEN len(a) < 3 THEN 'words' WHEN list_contains(a, 'eos') THEN 'marker'
